@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeframe.llm import mixing, packing, tokens
+from lodeframe.llm import minhash, mixing, neardup_vectors, packing, tokens, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_edited(table(spark, sf_dir, "documents"))
 
@@ -25,9 +29,17 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link(table(spark, sf_dir, "embeddings"))
+
+
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.link(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op5_token_counts, op6_pack_windows)}
+    return {f.__name__: f for f in (op1_mix_sources, op4_exact_topk, op5_token_counts, op6_pack_windows, op9_embedding_neardup, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_topk": topk.ORACLE}

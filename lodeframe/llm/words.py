@@ -20,6 +20,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _SAME = np.arange(256, dtype=np.uint8)
 _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
+#: bytes outside words where punctuation counts as a separator too: ASCII but letters and digits
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: bytes of text that one step works on, unless a single document is longer
 STEP = 4 << 20
 
@@ -90,9 +92,9 @@ def steps(raw: np.ndarray, offsets: np.ndarray, most: int = STEP) -> Iterator[tu
         a = b
 
 
-def spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, first): bytes of each word, and by document the index of its first word, with one more at the end."""
-    word = ~_SPACE[raw]
+    word = ~apart[raw]
     full = np.flatnonzero(np.diff(offsets))
     before = np.empty_like(word)
     before[1:] = word[:-1]
