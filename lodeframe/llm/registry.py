@@ -4,19 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodeframe.llm import minhash, mixing, neardup_vectors, packing, tokens, topk
+from lodeframe.llm import maintext, minhash, mixing, neardup_vectors, packing, substrings, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(column: str, n: int) -> Column:
+    """crc32 of an id as text, modulo n; that of an empty text for a null."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "id % 50 = 0")
 
@@ -29,6 +43,13 @@ def op6_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=fold("id", 4) != 2)
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -38,8 +59,8 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_exact_topk, op5_token_counts, op6_pack_windows, op9_embedding_neardup, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_main_text, op4_exact_topk, op5_token_counts, op6_pack_windows, op7_toxicity, op9_embedding_neardup, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op4_exact_topk": topk.ORACLE}
+    return {"op1_mix_sources": mixing.ORACLE, "op2_substring_dedup": substrings.ORACLE, "op4_exact_topk": topk.ORACLE}
