@@ -1,28 +1,71 @@
-"""A corpus run: the stages that turn documents into packed training windows."""
+"""A corpus run: the stages that turn documents into packed training windows.
+
+Each stage gets all that the one before kept, as Parquet read again, and all but the
+last return the columns of documents. run() writes the results between stages in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.llm import minhash, mixing, packing, substrings, toxicity
+from lodeframe.llm.registry import fold, table
+from lodeframe.llm.tables import written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, learnt from the training fold of labels, doesn't reject."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=fold("id", 4) != 2)
+    return toxicity.score(docs, model, result="_score", predicted="_toxic").filter("_toxic = 0").select(*docs.columns)
+
 
-from lodeframe.llm import mixing, packing
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one of least id.
 
+    Rows that repeat an id are one document of the group: the one of greatest text stays. Rows
+    with a null id are in no group and stay.
+    """
+    kept = minhash.link(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        columns = F.struct("text", *[c for c in docs.columns if c != "text"])
+        named = named.groupBy("doc_id").agg(F.max(columns).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
+    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the word windows that occur elsewhere too; those left without words go. n_chars follows the text."""
+    out = substrings.dedup(docs).filter("n_removed < n_words or n_words = 0")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.mix(docs).select(*docs.columns)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in token windows."""
     return packing.pack(docs)
 
 
-STAGES = [("mix", mix), ("pack", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash", drop_near_duplicates),
+    ("substrings", drop_repeated_passages),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+#: models, components and BPE ids can't be expressed in SQL; tests hold each stage against a plain version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodeframe.llm.tables import written
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeframe.llm import maintext, minhash, mixing, neardup_vectors, packing, substrings, tokens, topk, toxicity
+from lodeframe.llm import maintext, minhash, mixing, neardup_vectors, packing, quality, substrings, tokens, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", "predicted")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), learn=fold("id", 5) != 0)
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link(table(spark, sf_dir, "embeddings"))
 
@@ -59,7 +66,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_main_text, op4_exact_topk, op5_token_counts, op6_pack_windows, op7_toxicity, op9_embedding_neardup, op10_minhash_neardup)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_substring_dedup, op3_main_text, op4_exact_topk, op5_token_counts, op6_pack_windows, op7_toxicity, op8_quality, op9_embedding_neardup, op10_minhash_neardup)}
 
 
 def oracle_sql() -> dict[str, str]:
