@@ -9,14 +9,15 @@
    too little are left out; of the others, each document first checks its best pivot on whole
    sets, then those pivots that are still in another component.
 3. After components over true links, a bucket that still holds several components has
-   all members outside its largest one paired with all members of other components.
-   These are checked alike, so that any two members of one bucket are in one component
-   or were checked themselves: no link of two bucket mates is lost, and no group emits
+   all members outside its largest one compared with all members of other components: by
+   signature, block against block in numpy, so that only pairs that may be links become
+   rows. These are checked on whole sets. So any two members of one bucket are in one component
+   or were compared themselves: no link of two bucket mates is lost, and no group emits
    all its pairs.
 
 With 32 bands of 4 minima, documents of similarity 0.75 share no bucket with a chance of
-5e-6. A signature of 128 bytes agrees in under 64 at that similarity with a chance below
-1e-9. Sets of shingle hashes meet by pivot; a pivot with many partners is cut into
+5e-6. A signature of 256 bytes agrees in under 156 at that similarity with a chance of
+about 1e-7. Sets of shingle hashes meet by pivot; a pivot with many partners is cut into
 several cells, each with the pivot's set and at most some `CELL` partners.
 """
 
@@ -34,8 +35,10 @@ from lodeframe.llm.components import components
 from lodeframe.llm.tables import drop, partitions, written
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
-#: signature bytes that must agree
-AGREE = 64
+#: minima in a signature (the first of them make the bands), and how many of its bytes must agree
+SIGNATURE, AGREE = 256, 156
+#: members of a bucket in one block
+BLOCK = 1024
 #: partners of a pivot in one cell
 CELL = 512
 
@@ -88,7 +91,7 @@ def describe(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = universal(bands * rows)
+        a, b = universal(max(SIGNATURE, bands * rows))
         for batch in batches:
             ids = batch.column("doc_id")
             for lo, hi, h, first in distinct_sets(batch.column("text"), k):
@@ -101,7 +104,7 @@ def describe(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
                     for row in least[band * rows : band * rows + rows]:
                         key = W.mixed(key * np.uint64(W.BASE) + row.astype(np.uint64))
                     keys[:, band] = key
-                signature = np.ascontiguousarray(W.mixed(least.T.astype(np.uint64)).astype(np.uint8))
+                signature = np.ascontiguousarray(W.mixed(least[:SIGNATURE].T.astype(np.uint64)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(lo, n),
@@ -159,6 +162,35 @@ def similar_signatures(pairs: DataFrame, signatures: DataFrame, agree: int = AGR
     return joined.mapInArrow(run, "a long, b long, agreed long")
 
 
+def similar_strays(split: DataFrame, signatures: DataFrame, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a > b) of bucket mates in different components, not both in the bucket's main one, whose signatures agree.
+
+    split: bucket, doc, c (component), main. A cell is a block of strays against a block of members of one bucket.
+    """
+    counts = split.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.sum((F.col("c") != F.col("main")).cast("int")) / block).cast("int").alias("stray_blocks"))
+    rows = split.join(counts, "bucket").join(signatures.select("doc", "signature"), "doc")
+    every = F.sequence(F.lit(0), F.col("n") - 1)
+    part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
+    columns = ["bucket", "i", "j", "stray", "doc", "c", "main", "signature"]
+    members = rows.withColumn("n", F.col("stray_blocks")).select("*", part("blocks").alias("j"), F.explode(every).alias("i"), F.lit(False).alias("stray")).select(*columns)
+    strays = rows.filter("c <> main").withColumn("n", F.col("blocks")).select("*", part("stray_blocks").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("stray")).select(*columns)
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        stray = table.column("stray").to_numpy()
+        doc, c, main = (table.column(x).to_numpy() for x in ("doc", "c", "main"))
+        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
+        one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
+        found = []
+        for x in one:
+            open_ = two[(c[two] != c[x]) & ((c[two] == main[x]) | (doc[two] < doc[x]))]
+            y = open_[(sig[open_] == sig[x]).sum(1) >= agree]
+            found.append(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+    return members.union(strays).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of distinct pairs (a, b): the true links, checked on whole sets.
 
@@ -236,7 +268,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int =
     signatures = heads.select("doc", "f1", "f2", "signature").join(members.select("doc").distinct(), "doc")
     signatures, signatures_path = written(signatures, "signatures")
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    sets, sets_path = written(sets_of(texts.join(signatures.select("doc", "f1", "f2"), "doc"), k), "sets")
+    sets, sets_path = written(sets_of(texts.join(signatures.select("doc", "f1", "f2").hint("merge"), "doc"), k), "sets")
 
     near = similar_signatures(members.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), signatures)
     near, near_path = written(near, "near")
@@ -252,10 +284,7 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int =
     sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n"))
     main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
     split, split_path = written(tagged.join(main, "bucket"), "split")
-    stray = split.filter("c <> main").select("bucket", F.col("doc").alias("x"), F.col("c").alias("cx"))
-    pairs = stray.join(split, "bucket").filter((F.col("c") != F.col("cx")) & ((F.col("c") == F.col("main")) | (F.col("doc") < F.col("x")))).select(F.greatest("x", "doc").alias("a"), F.least("x", "doc").alias("b")).distinct()
-    tried = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    late, late_path = written(confirmed(similar_signatures(pairs.join(tried, ["a", "b"], "left_anti"), signatures).select("a", "b"), sets, percent), "links")
+    late, late_path = written(confirmed(similar_strays(split, signatures).join(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, percent), "links")
 
     comp = components(links.union(late).union(copies))
     own = described.select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("node"))
