@@ -36,11 +36,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word windows that occur elsewhere too; those left without words go. n_chars follows the text."""
-    out = substrings.dedup(docs).filter("n_removed < n_words or n_words = 0")
-    if "n_chars" in docs.columns:
+    plain = [f"c{i}" for i in range(len(docs.columns))]  # columns of docs may have names of the operator's results
+    at = {c: p for c, p in zip(docs.columns, plain, strict=True)}
+    names = [{"doc_id": "doc_id", "text": "text"}.get(c, p) for c, p in at.items()]
+    out = substrings.dedup(docs.toDF(*names)).filter("n_removed < n_words or n_words = 0")
+    if "n_chars" in at:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn(at["n_chars"], F.when(F.col("n_removed") > 0, F.char_length("text").cast(kind)).otherwise(F.col(at["n_chars"])))
+    return out.select(*names).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

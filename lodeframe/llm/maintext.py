@@ -33,6 +33,7 @@ NEVER = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog",
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "link", "mark", "meta", "meter", "nobr", "output", "progress", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note", "tablist"}
+LEAVES = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE, MAIN = {"article"}, {"main"}
 #: words of class or id
 AWAY = set(
@@ -158,7 +159,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
         if tag == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == tag:
             while open_ and open_[-1][0] == "p" or open_ and tag != "p" and open_[-1][0] == tag:
                 open_.pop()
-        if tag != "p":  # paragraphs of one parent are alike
+        if tag not in LEAVES:  # paragraphs and headings of one parent are alike
             number += 1
             open_.append((tag, number, kind))
             if kind == "article" or kind == "main" and not marked:
@@ -169,9 +170,11 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
 
 def core(sizes: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
     """[start, end) of the region of most text between a surge and a dive of the window sums."""
-    x = np.asarray(sizes)
+    x = np.asarray(sizes, dtype=np.int64)
+    if not len(x):
+        return 0, 0
     sums = np.convolve(x, np.ones(window, dtype=np.int64))[window - 1 :]  # lines i to i + window - 1
-    if not len(x) or not sums.max():
+    if not sums.max():
         return 0, len(x)
     high = np.concatenate(([0], (sums >= max(1, surge * sums.max())).astype(np.int8), [0]))
     starts, ends = np.flatnonzero(np.diff(high) > 0), np.flatnonzero(np.diff(high) < 0)
@@ -180,9 +183,10 @@ def core(sizes: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[
     mass = total[ends] - total[starts]
     best = int(np.argmax(mass))
     a, b = int(starts[best]), int(ends[best])
-    while a < b - 1 and not x[a]:  # a window may start before its text, and end after it
+    edge = surge * sums.max() / window  # a window may start before its text, and end after it
+    while a < b - 1 and x[a] < edge:
         a += 1
-    while b > a + 1 and not x[b - 1]:
+    while b > a + 1 and x[b - 1] < edge:
         b -= 1
     return a, b
 
