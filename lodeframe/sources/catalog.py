@@ -36,7 +36,7 @@ class Index:
 
 @dataclass
 class Relation:
-    schema: Schema
+    schema: Schema | None
     path: str | None
     external: bool = False
     indexes: dict[int, Index] = field(default_factory=dict)
@@ -67,12 +67,15 @@ class Database:
         return name in self._relations
 
     def relationSchema(self, name: str) -> Schema | None:
-        return self._relations[name].schema if name in self._relations else None
+        return self._known(name).schema if name in self._relations else None
 
     def _known(self, name: str) -> Relation:
         if name not in self._relations:
             raise ValueError(f"no relation {name!r}")
-        return self._relations[name]
+        r = self._relations[name]
+        if r.schema is None:
+            r.schema = Schema.of(name, self.spark.read.parquet(r.path))
+        return r
 
     def createRelation(self, name: str, fields: list[tuple[str, str]]) -> None:
         if name in self._relations:
@@ -81,11 +84,13 @@ class Database:
         self.checkpoint()
 
     def attach(self, name: str, path: str, schema: Schema | None = None) -> None:
-        """A relation over Parquet files that stay where they are; removing it leaves them."""
+        """A relation over Parquet files that stay where they are; removing it leaves them.
+
+        Without a schema, that of the files holds; it is read when the relation is used first.
+        """
         if name in self._relations:
             raise ValueError(f"relation {name!r} is there already")
-        own = schema or Schema.of(name, self.spark.read.parquet(path))
-        self._relations[name] = Relation(own, path, external=True)
+        self._relations[name] = Relation(schema, path, external=True)
         self.checkpoint()
 
     def removeRelation(self, name: str, detach: bool = False) -> str | None:
@@ -105,7 +110,7 @@ class Database:
     def pack(self) -> str:
         return json.dumps(
             {
-                "relations": {n: {"schema": r.schema.pack(), "path": r.path, "external": r.external, "count": r.count, "indexes": [{"id": i.id, "key": i.key.pack(), "primary": i.primary} for i in r.indexes.values()]} for n, r in self._relations.items()},
+                "relations": {n: {"schema": r.schema and r.schema.pack(), "path": r.path, "external": r.external, "count": r.count, "indexes": [{"id": i.id, "key": i.key.pack(), "primary": i.primary} for i in r.indexes.values()]} for n, r in self._relations.items()},
                 "next_index": self._next_index,
             }
         )
@@ -113,7 +118,7 @@ class Database:
     def restore(self) -> None:
         got = json.loads(files.read_text(self.spark, f"{self.dataDir}/catalog.json"))
         self._next_index = got["next_index"]
-        self._relations = {n: Relation(unpack(r["schema"]), r["path"], r["external"], {i["id"]: Index(i["id"], n, unpack(i["key"]), i["primary"]) for i in r["indexes"]}, r["count"]) for n, r in got["relations"].items()}
+        self._relations = {n: Relation(r["schema"] and unpack(r["schema"]), r["path"], r["external"], {i["id"]: Index(i["id"], n, unpack(i["key"]), i["primary"]) for i in r["indexes"]}, r["count"]) for n, r in got["relations"].items()}
 
     def close(self) -> None:
         for name in list(self._pending):
