@@ -23,7 +23,7 @@ _LOWER[65:91] += 32
 #: bytes outside words where punctuation counts as a separator too: ASCII but letters and digits
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 #: bytes of text that one step works on, unless a single document is longer
-STEP = 4 << 20
+STEP = 1 << 20
 
 
 class Powers:
