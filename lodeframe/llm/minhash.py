@@ -162,13 +162,12 @@ def similar_signatures(pairs: DataFrame, signatures: DataFrame, agree: int = AGR
     return joined.mapInArrow(run, "a long, b long, agreed long")
 
 
-def similar_strays(split: DataFrame, signatures: DataFrame, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a > b) of bucket mates in different components, not both in the bucket's main one, whose signatures agree.
+def similar_strays(rows: DataFrame, agree: int = AGREE) -> DataFrame:
+    """main, x, ys: strays with those bucket mates in other components whose signatures agree; a row for each cell and stray.
 
-    split: bucket, doc, c (component), main. A cell is a block of strays against a block of members of one bucket.
+    rows: bucket, doc, c (component), main, signature, blocks and stray_blocks (numbers of blocks of the bucket's
+    members and strays). A cell is a block of strays against a block of members of one bucket; two strays are looked at once.
     """
-    counts = split.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.ceil(F.sum((F.col("c") != F.col("main")).cast("int")) / block).cast("int").alias("stray_blocks"))
-    rows = split.join(counts, "bucket").join(signatures.select("doc", "signature"), "doc")
     every = F.sequence(F.lit(0), F.col("n") - 1)
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
     columns = ["bucket", "i", "j", "stray", "doc", "c", "main", "signature"]
@@ -179,16 +178,78 @@ def similar_strays(split: DataFrame, signatures: DataFrame, agree: int = AGREE,
         stray = table.column("stray").to_numpy()
         doc, c, main = (table.column(x).to_numpy() for x in ("doc", "c", "main"))
         sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
-        one, two = np.flatnonzero(stray), np.flatnonzero(~stray)
-        found = []
-        for x in one:
-            open_ = two[(c[two] != c[x]) & ((c[two] == main[x]) | (doc[two] < doc[x]))]
-            y = open_[(sig[open_] == sig[x]).sum(1) >= agree]
-            found.append(np.stack([np.maximum(doc[x], doc[y]), np.minimum(doc[x], doc[y])]))
-        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+        two = np.flatnonzero(~stray)
+        xs, ys = [], []
+        for x in np.flatnonzero(stray):
+            mates = two[(c[two] != c[x]) & ((c[two] == main[x]) | (doc[two] < doc[x]))]
+            y = mates[(sig[mates] == sig[x]).sum(1) >= agree]
+            if len(y):
+                xs.append(doc[x])
+                ys.append(doc[y])
+        return pa.table({"main": pa.array(main[:1].repeat(len(xs)), pa.int64()), "x": pa.array(xs, pa.int64()), "ys": pa.array(ys, pa.list_(pa.int64()))})
 
-    return members.union(strays).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return members.union(strays).groupBy("bucket", "i", "j").applyInArrow(run, "main long, x long, ys array<long>")
+
+
+def confirmed_strays(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Of rows (main, x, ys): the true links (a, b), checked on whole sets.
+
+    Strays around one component have much the same candidates. So `CELL` strays at a time share one copy of each
+    candidate's set, in parts of 4 * CELL candidates: what is sent grows with documents, not with pairs.
+    """
+    n = partitions(found.sparkSession)
+    groups = found.select("main", "x").distinct().groupBy("main").agg(F.ceil(F.count("*") / CELL).cast("int").alias("groups"))
+
+    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        main, group = (k.as_py() for k in key)
+        ys = table.column("ys").combine_chunks()
+        y = ys.flatten().to_numpy()
+        x = np.repeat(table.column("x").to_numpy(), np.diff(ys.offsets.to_numpy()))
+        order = np.lexsort((x, y))
+        x, y = x[order], y[order]
+        fresh = np.ones(len(x), dtype=bool)
+        fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        x, y = x[fresh], y[fresh]
+        others, first = np.unique(y, return_index=True)
+        cuts = np.append(first, len(y))
+        part = np.arange(len(others)) // (4 * CELL)
+        own = np.unique(x)
+        parts = int(part[-1]) + 1
+        docs = np.concatenate([others, np.tile(own, parts)])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, np.full(parts * len(own), len(y))]).astype(np.int32)), pa.array(x, pa.int64()))
+        size = len(docs)
+        return pa.table({"main": pa.array([main] * size, pa.int64()), "part": pa.array(group * (1 << 20) + np.concatenate([part, np.repeat(np.arange(parts), len(own))]), pa.int64()), "doc": pa.array(docs, pa.int64()), "xs": lists})
+
+    grouped = found.join(groups, "main").withColumn("group", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).groupBy("main", "group")
+    sent = grouped.applyInArrow(gather, "main long, part long, doc long, xs array<long>").join(sets, "doc").select("main", "part", "doc", "xs", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, dict[int, np.ndarray]] = {}
+        waiting: dict[tuple, list] = {}
+        for batch in batches:
+            for main, part, doc, xs, items in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                items = np.frombuffer(items, dtype=np.uint64)
+                if xs:
+                    waiting.setdefault((main, part), []).append((doc, xs, items))
+                else:
+                    held.setdefault((main, part), {})[doc] = items
+        for key in list(waiting):
+            found = [(x, doc) for doc, xs, items in waiting.pop(key) for x in xs if alike(held[key][x], items, percent)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return sent.repartition(n, "main", "part").mapInArrow(run, "a long, b long")
+
+
+def alike(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether two sorted sets share that percentage of their union."""
+    small, large = sorted((one, two), key=len)
+    if 100 * len(small) < percent * len(large) or not len(large):
+        return False
+    at = np.searchsorted(large, small)
+    at[at == len(large)] = 0
+    both = int((large[at] == small).sum())
+    return 100 * both >= percent * (len(small) + len(large) - both)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -209,11 +270,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
         found: list[tuple[int, int]] = []
 
         def check(pivot: int, mine: np.ndarray, doc: int, items: np.ndarray) -> None:
-            small, large = sorted((mine, items), key=len)
-            at = np.searchsorted(large, small)
-            at[at == len(large)] = 0
-            both = int((large[at] == small).sum()) if len(large) else 0
-            if 100 * both >= percent * (len(mine) + len(items) - both):
+            if alike(mine, items, percent):
                 found.append((doc, pivot))
 
         for batch in batches:
@@ -256,12 +313,11 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int =
     same = ["f1", "f2", "n_shingles"]
     # one representative for each set: equal sets have equal bands and signatures
     heads, heads_path = written(real.groupBy(*same).agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "heads")
+    copies = real.select("doc", *same).join(heads.select(*same, F.col("doc").alias("head")), same).filter("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
+    once_path = None
     if heads.groupBy("doc").count().filter("count > 1").limit(1).count():  # an id with several texts stands for its largest set
         first = heads.groupBy("doc").agg(F.max(F.struct("n_shingles", "f1", "f2")).alias("s")).select("doc", "s.*")
         heads, once_path = written(heads.join(first, ["doc", *same]), "heads")
-        drop(spark, heads_path)
-        heads_path = once_path
-    copies = real.select("doc", *same).join(heads.select(*same, F.col("doc").alias("head")), same).filter("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
     posted = heads.select(F.explode("bands").alias("bucket"), "doc")
     buckets = posted.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
     members, members_path = written(posted.join(buckets, "bucket"), "members")
@@ -282,14 +338,18 @@ def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int =
     # what buckets hold beyond their largest component
     tagged = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("c"))
     sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "main")
-    split, split_path = written(tagged.join(main, "bucket"), "split")
-    late, late_path = written(confirmed(similar_strays(split, signatures).join(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), sets, percent), "links")
+    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
+    main = main.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("stray_blocks"))
+    split, split_path = written(tagged.join(main, "bucket").join(signatures.select("doc", "signature"), "doc"), "split")
+    pairs, pairs_path = written(similar_strays(split), "pairs")
+    late, late_path = written(confirmed_strays(pairs, sets, percent), "links")
 
     comp = components(links.union(late).union(copies))
     own = described.select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("node"))
     out = own.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("kept"))
     out, _ = written(out, "linked")
-    for path in (described_path, heads_path, members_path, signatures_path, sets_path, near_path, links_path, more_path, comp_path, split_path, late_path):
+    if once_path:
+        drop(spark, once_path)
+    for path in (described_path, heads_path, members_path, signatures_path, sets_path, near_path, links_path, more_path, comp_path, split_path, pairs_path, late_path):
         drop(spark, path)
     return out
