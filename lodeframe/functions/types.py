@@ -70,9 +70,10 @@ class FieldType:
         """c as this type: numbers cast, with an error outside the range; strings cut to size in bytes."""
         if self.is_text:
             s = c.cast("string")
-            raw = F.substring(F.encode(s, "UTF-8"), 1, self.size)
-            # bytes 10xxxxxx go on with a character: if the first byte beyond the cut is one, the last character is partial
-            cut = F.regexp_replace(F.decode(raw, "UTF-8"), "�+$", "")
+            raw = F.hex(F.substring(F.encode(s, "UTF-8"), 1, self.size))
+            # a first byte of a character at the end, with fewer bytes after it than it announces, goes with them
+            whole = F.regexp_replace(raw, "^((?:..)*?)(?:[CD].|E.(?:[89AB].)?|F.(?:[89AB].){0,2})$", "$1")
+            cut = F.decode(F.unhex(whole), "UTF-8")
             return F.when(F.octet_length(s) <= self.size, s).otherwise(cut)
         if self.kind == "byte":
             return F.when(c.between(0, 255) | c.isNull(), c.cast("short")).otherwise(F.raise_error(F.concat(F.lit("not a byte: "), c.cast("string"))).cast("short"))
