@@ -247,6 +247,16 @@ class Database:
         summary = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
         return {"rows": n, "files": len(self.spark.read.parquet(r.path).inputFiles()), "bytes": summary.getLength()}
 
+    def headers(self, name: str) -> DataFrame:
+        """file, bytes and rows of each file of the current snapshot; rows come from footers and no column is read."""
+        meta = F.col("_metadata")
+        r = self._known(name)
+        self._flush(name)
+        if r.path is None:
+            return self.spark.createDataFrame([], "file string, bytes long, rows long")
+        df = self.spark.read.schema(r.schema.struct).parquet(r.path)
+        return df.groupBy(meta["file_name"].alias("file"), meta["file_size"].alias("bytes")).agg(F.count("*").alias("rows"))
+
     def columnStats(self, name: str, column: str) -> Row:
         """count, minimum, maximum and distinct values of a column, in one pass."""
         c = F.col(f"`{column}`")

@@ -35,6 +35,15 @@ def _parsed() -> dict[str, tuple[Schema, str]]:
     return out
 
 
+def imported(relations: dict[str, tuple[Schema, str]] | None = None) -> dict[str, tuple[Schema, str]]:
+    """The variant of plain imports: lower-case names, money as float, dates as text of ten characters."""
+    out = {}
+    for name, (schema, formats) in (relations or _parsed()).items():
+        kinds = [("char(10)" if f == "t" else "float" if f == "d" else str(t)) for (_, t), f in zip(schema.fields, formats, strict=True)]
+        out[name] = Schema(name, list(zip([n.lower() for n in schema.names], kinds, strict=True))), formats.replace("t", "s")
+    return out
+
+
 @dataclass
 class Result:
     tuples: int
@@ -46,8 +55,9 @@ class Result:
 
 
 class Workload:
-    def __init__(self, only: tuple[str, ...] | None = None):
-        self.relations = {n: r for n, r in _parsed().items() if only is None or n in only}
+    def __init__(self, only: tuple[str, ...] | None = None, plain: bool = False):
+        """plain: in the variant of imported()."""
+        self.relations = {n: r for n, r in (imported() if plain else _parsed()).items() if only is None or n in only}
         self.loaded = False
 
     def createRelations(self, db: Database) -> None:

@@ -63,6 +63,7 @@ def test_changes(db):
         db.deleteTuple("employee", {"none": 1})
     assert db.relationStats("employee")["rows"] == 5
     assert [len(p) for p in db.pages("employee", 2)] == [2, 2, 1]
+    assert sum(r.rows for r in db.headers("employee").collect()) == 5
 
 
 def test_indexes(db, spark):
@@ -130,6 +131,12 @@ def test_workload(spark, tmp_path):
     assert {n: db.known_count(n) for n in ("nation", "region", "orders")} == {"nation": 25, "region": 5, "orders": 150}
     first = db.table("orders").orderBy("O_ORDERKEY").first()
     assert (first.O_ORDERDATE, first.O_COMMENT) == (19960101, " lead")
+    plain = Workload(only=("orders",), plain=True)
+    other = Database(spark, str(tmp_path / "plain"))
+    plain.createRelations(other)
+    plain.loadDataset(other, str(tmp_path))
+    first = other.table("orders").orderBy("o_orderkey").first()
+    assert (first.o_orderdate, first.o_totalprice) == ("1996-01-01", 0.5) and dict(other.table("orders").dtypes)["o_totalprice"] == "float"
     for mode in (1, 2, 3, 4):
         got = w.runOperations(db, mode)
         assert got.tuples == 150 and got.throughput > 0
