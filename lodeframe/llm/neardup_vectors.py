@@ -32,7 +32,7 @@ from lodeframe.llm.components import components
 from lodeframe.llm.tables import drop, partitions, written
 from lodeframe.llm.vectors import finite
 
-COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 1, 1024
+COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 2, 1024
 #: bounds of the pivot sample: rows, and bytes as doubles
 MOST_PIVOTS, MOST_BYTES = 4096, 32 << 20
 
@@ -51,33 +51,37 @@ def prefixes(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     return np.take_along_axis(top, order, 1).astype(np.int32)
 
 
-def masks(p: np.ndarray) -> np.ndarray:
-    """One bit of 64 for each pivot of a prefix: equal pivots share bits, so the common bits bound the common pivots from above where bits differ."""
-    out = np.zeros(len(p), dtype=np.uint64)
+def bits(p: np.ndarray, pivots: int) -> np.ndarray:
+    """(vectors, words of 64 bits): a bit for each pivot of a prefix."""
+    out = np.zeros((len(p), -(-pivots // 64)), dtype=np.uint64)
+    rows = np.arange(len(p))
     for c in p.T:
-        out |= np.uint64(1) << (c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(58))
+        out[rows, c >> 6] |= np.uint64(1) << (c & 63).astype(np.uint64)
     return out
 
 
-def cell_links(pivot: int, a: tuple, b: tuple | None, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(pivot: int, pivots: int, a: tuple, b: tuple | None, cosine: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) between two blocks (b None: inside one) that this pivot's list answers for.
 
-    A block is (unit vectors, prefixes).
+    A block is (unit vectors, prefixes). Pairs are retrieved by their number of shared pivots, then verified.
     """
     x, p = a
     y, q = b if b is not None else a
-    close = x @ y.T >= cosine
-    if shared > 1:  # two prefixes may set one bit for two pivots, so one bit is enough to go on
-        close &= np.bitwise_count(masks(p)[:, None] & masks(q)[None, :]) > 0
-    i, j = np.nonzero(close)
+    m, n = bits(p, pivots), bits(q, pivots)
+    common = np.zeros((len(x), len(y)), dtype=np.uint8)
+    for w in range(m.shape[1]):
+        common += np.bitwise_count(m[:, w, None] & n[None, :, w])
+    i, j = np.nonzero(common >= shared)
     if b is None:
         i, j = i[i < j], j[i < j]
+    dense = x @ y.T if len(i) * 16 > len(x) * len(y) else None
     keep = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), 1 << 16):
-        pi, qj = p[i[s : s + (1 << 16)]], q[j[s : s + (1 << 16)]]
-        both = (pi[:, :, None] == qj[:, None, :]).any(2)
-        least = np.where(both, pi, np.iinfo(np.int32).max).min(1)
-        keep[s : s + (1 << 16)] = (least == pivot) & (both.sum(1) >= shared)
+        part = slice(s, s + (1 << 16))
+        near = (dense[i[part], j[part]] if dense is not None else np.einsum("ij,ij->i", x[i[part]], y[j[part]])) >= cosine
+        pi, qj = p[i[part][near]], q[j[part][near]]
+        least = np.where((pi[:, :, None] == qj[:, None, :]).any(2), pi, np.iinfo(np.int32).max).min(1)
+        keep[s + np.flatnonzero(near)[least == pivot]] = True
     return i[keep], j[keep]
 
 
@@ -132,6 +136,7 @@ def _one_dimension(heads: DataFrame, n: int, dim: int, cosine: float, prefix: in
     """(a, n, b): a head's links, weighted by copies, and a head it is connected with; by cells."""
     spark = heads.sparkSession
     count = pivot_count(n, dim)
+    shared = min(shared, count)
     picked = heads.orderBy(F.xxhash64(F.lit(seed), "h1"), "h2").limit(count).select("vec").collect()  # bounded by MOST_PIVOTS and MOST_BYTES
     pivots = np.array([r["vec"] for r in picked], dtype=np.float64)
     pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
@@ -160,7 +165,7 @@ def _one_dimension(heads: DataFrame, n: int, dim: int, cosine: float, prefix: in
         weight = table.column("copies").to_numpy()
         at = [np.flatnonzero(side == s) for s in ((lo,) if lo == hi else (lo, hi))]
         blocks = [(x[a], p[a]) for a in at]
-        i, j = cell_links(pivot, blocks[0], blocks[1] if len(at) > 1 else None, cosine, shared)
+        i, j = cell_links(pivot, count, blocks[0], blocks[1] if len(at) > 1 else None, cosine, shared)
         i, j = at[0][i], at[-1][j]
         n_links = np.zeros(len(x), dtype=np.int64)
         np.add.at(n_links, i, weight[j])
