@@ -29,20 +29,20 @@ def joined(left: DataFrame, right: DataFrame, method: str, keys: list[tuple[str,
     """Rows of both sides with equal keys for which the condition is true.
 
     The condition's equalities of a left and a right field become join keys in Spark's planner, so that a loop join with
-    such a condition is dealt out by key. A hint is given only where the method asks for it: hash joins build
-    hash tables of shuffled partitions, index joins merge inputs in key order (nothing to sort if the right one is
-    bucketed and sorted by its key), and block joins send their smaller side whole, if its size allows.
+    such a condition is dealt out by key. Where the smaller side's size is within the session's bound for broadcasts, it
+    is sent whole and the larger side stays where it is. Beyond that the method decides: hash joins build hash tables of
+    shuffled partitions, index joins merge inputs in key order (nothing to sort if the right one is bucketed and sorted by
+    its key), and loop joins are left to the planner.
     """
     struct = type(left.schema)([*left.schema, *right.schema])
     tests: list[Column] = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]
     if condition is not None:
         tests += [expr.predicate(c, struct) for c in expr.conjuncts(condition)]
-    if method == "hash":
-        left, right = (left.hint("shuffle_hash"), right) if size_of(left) < size_of(right) else (left, right.hint("shuffle_hash"))
+    small = min((left, right), key=size_of)
+    if method != "nested-loops" and fits_broadcast(small):
+        left, right = (F.broadcast(left), right) if small is left else (left, F.broadcast(right))
+    elif method == "hash":
+        left, right = (left.hint("shuffle_hash"), right) if small is left else (left, right.hint("shuffle_hash"))
     elif method == "indexed":
         right = right.hint("merge")
-    elif method == "block-nested-loops":
-        small = min((left, right), key=size_of)
-        if fits_broadcast(small):
-            left, right = (F.broadcast(left), right) if small is left else (left, F.broadcast(right))
     return left.join(right, reduce(lambda a, b: a & b, tests), "inner")
