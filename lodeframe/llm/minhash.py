@@ -220,7 +220,7 @@ def confirmed_strays(found: DataFrame, sets: DataFrame, percent: int = PERCENT)
         size = len(docs)
         return pa.table({"main": pa.array([main] * size, pa.int64()), "part": pa.array(group * (1 << 20) + np.concatenate([part, np.repeat(np.arange(parts), len(own))]), pa.int64()), "doc": pa.array(docs, pa.int64()), "xs": lists})
 
-    grouped = found.join(groups, "main").withColumn("group", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).groupBy("main", "group")
+    grouped = found.join(groups, "main").withColumn("group", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).repartition(n, "main", "group").groupBy("main", "group")
     sent = grouped.applyInArrow(gather, "main long, part long, doc long, xs array<long>").join(sets, "doc").select("main", "part", "doc", "xs", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
