@@ -7,11 +7,9 @@ each integer it crosses. So it gets floor or ceil of its expectation, and the er
 of a source's words stays below the size of its largest document: the order is by
 falling size, in steps of about 3 %, and by a hash of the id within a step.
 
-The running sum takes two levels, so that no source meets in one task: rows are
-counted in buckets (source, size step, two hex digits of the id's md5); a window over
-the bucket counts gives each bucket its start and a window inside the bucket the rest.
-A bucket holds 1/256 of one size step, and the counts of one source at most
-256 buckets for each of its (some hundred) size steps, whatever the input.
+The running sum takes three levels, so that no source meets in one task: over the size
+steps of a source (some hundred rows), over the 256 parts of a step (by two hex digits of the
+id's md5), and over the rows of a part. The first two are over counts.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; null ids and repeated rows are rows like any other; rows that tie in all
@@ -68,8 +66,11 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
     rows = rows.withColumns({"source_key": key, "step": size_step(F.col("size")), "part": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)})
     cell = ["source_key", "step", "part"]
     counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
-    order = Window.partitionBy("source_key").orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*cell, F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    so_far = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counts.groupBy("source_key", "step").agg(F.sum("n").alias("n")).withColumn("part", F.lit(""))
+    steps = steps.select("source_key", "step", so_far("source_key").alias("step_start"))
+    starts = counts.select(*cell, so_far("source_key", "step").alias("part_start")).join(steps, ["source_key", "step"])
+    starts = starts.select(*cell, (F.col("step_start") + F.col("part_start")).alias("start"))
     share_of = targets(rows.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")), weights, share, most)
     starts = starts.join(share_of, "source_key").withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumn("offset", unit(F.concat(F.lit(seed), F.col("source_key")).cast("binary")))
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy("doc_id", "size"))
