@@ -9,10 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder if all run on this machine, else one in the warehouse.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="lodeframe-")
+        alone = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        path = tempfile.mkdtemp(prefix="lodeframe-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodeframe-shared"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
