@@ -32,7 +32,7 @@ from lodeframe.llm.components import components
 from lodeframe.llm.tables import drop, partitions, written
 from lodeframe.llm.vectors import finite
 
-COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 2, 1024
+COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 1, 1024
 #: bounds of the pivot sample: rows, and bytes as doubles
 MOST_PIVOTS, MOST_BYTES = 4096, 32 << 20
 
@@ -71,17 +71,21 @@ def cell_links(pivot: int, pivots: int, a: tuple, b: tuple | None, cosine: float
     common = np.zeros((len(x), len(y)), dtype=np.uint8)
     for w in range(m.shape[1]):
         common += np.bitwise_count(m[:, w, None] & n[None, :, w])
-    i, j = np.nonzero(common >= shared)
+    candidate = common >= shared
+    if candidate.mean() > 1 / 16:  # one product of the blocks is cheaper than one for each pair
+        i, j = np.nonzero(candidate & (x @ y.T >= cosine))
+    else:
+        i, j = np.nonzero(candidate)
+        near = [np.einsum("ij,ij->i", x[i[s : s + (1 << 16)]], y[j[s : s + (1 << 16)]]) >= cosine for s in range(0, len(i), 1 << 16)]
+        near = np.concatenate(near) if near else np.zeros(0, dtype=bool)
+        i, j = i[near], j[near]
     if b is None:
         i, j = i[i < j], j[i < j]
-    dense = x @ y.T if len(i) * 16 > len(x) * len(y) else None
     keep = np.zeros(len(i), dtype=bool)
     for s in range(0, len(i), 1 << 16):
-        part = slice(s, s + (1 << 16))
-        near = (dense[i[part], j[part]] if dense is not None else np.einsum("ij,ij->i", x[i[part]], y[j[part]])) >= cosine
-        pi, qj = p[i[part][near]], q[j[part][near]]
+        pi, qj = p[i[s : s + (1 << 16)]], q[j[s : s + (1 << 16)]]
         least = np.where((pi[:, :, None] == qj[:, None, :]).any(2), pi, np.iinfo(np.int32).max).min(1)
-        keep[s + np.flatnonzero(near)[least == pivot]] = True
+        keep[s : s + (1 << 16)] = least == pivot
     return i[keep], j[keep]
 
 
