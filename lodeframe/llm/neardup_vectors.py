@@ -1,7 +1,8 @@
 """Near-duplicate vectors through a pivot-permutation index.
 
-Reference points (pivots) are a bounded sample of the vectors. Each vector is described
-by its `prefix` nearest pivots in order, and stands in the inverted list of each of
+Reference points (pivots) are a bounded sample of the vectors, of which no two are close:
+else a dense group would fill its members' prefixes with pivots of its own, chosen by
+small residuals, and linked members would share none. Each vector is described by its `prefix` nearest pivots in order, and stands in the inverted list of each of
 them. Two vectors are candidates when they share at least `shared` pivots of their
 prefixes; candidates are verified by cosine in double precision. Every vector is
 indexed; only the pivots come from a sample.
@@ -33,6 +34,8 @@ from lodeframe.llm.tables import drop, partitions, written
 from lodeframe.llm.vectors import finite
 
 COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 1, 1024
+#: pivots have a cosine below this to each other; they are chosen from up to SPARE times as many vectors
+APART, SPARE = 0.7, 4
 #: bounds of the pivot sample: rows, and bytes as doubles
 MOST_PIVOTS, MOST_BYTES = 4096, 32 << 20
 
@@ -42,6 +45,19 @@ def pivot_count(n: int, dim: int) -> int:
     return max(1, min(MOST_PIVOTS, MOST_BYTES // (8 * dim), max(64, 2 * math.isqrt(n)), n))
 
 
+def apart(x: np.ndarray, most: int, cosine: float = APART) -> np.ndarray:
+    """The first `most` unit vectors whose cosine to each one kept before is below that."""
+    kept: list[int] = []
+    free = np.ones(len(x), dtype=bool)
+    for i in range(len(x)):
+        if free[i]:
+            kept.append(i)
+            if len(kept) == most:
+                break
+            free[i:] &= x[i:] @ x[i] < cosine
+    return x[kept]
+
+
 def prefixes(x: np.ndarray, pivots: np.ndarray, m: int) -> np.ndarray:
     """The m nearest pivots of each unit vector, nearest first."""
     near = x @ pivots.T
@@ -68,10 +84,17 @@ def cell_links(pivot: int, pivots: int, a: tuple, b: tuple | None, cosine: float
     x, p = a
     y, q = b if b is not None else a
     m, n = bits(p, pivots), bits(q, pivots)
-    common = np.zeros((len(x), len(y)), dtype=np.uint8)
-    for w in range(m.shape[1]):
-        common += np.bitwise_count(m[:, w, None] & n[None, :, w])
-    candidate = common >= shared
+    candidate = np.ones((len(x), len(y)), dtype=bool)  # no lower pivot is shared
+    for w in range((pivot >> 6) + 1):
+        below = np.uint64((1 << (pivot & 63)) - 1 if w == pivot >> 6 else (1 << 64) - 1)
+        k, l = m[:, w] & below, n[:, w] & below
+        if k.any() and l.any():
+            candidate &= (k[:, None] & l[None, :]) == 0
+    if shared > 1:
+        common = np.zeros((len(x), len(y)), dtype=np.uint8)
+        for w in range(m.shape[1]):
+            common += np.bitwise_count(m[:, w, None] & n[None, :, w])
+        candidate &= common >= shared
     if candidate.mean() > 1 / 16:  # one product of the blocks is cheaper than one for each pair
         i, j = np.nonzero(candidate & (x @ y.T >= cosine))
     else:
@@ -81,12 +104,7 @@ def cell_links(pivot: int, pivots: int, a: tuple, b: tuple | None, cosine: float
         i, j = i[near], j[near]
     if b is None:
         i, j = i[i < j], j[i < j]
-    keep = np.zeros(len(i), dtype=bool)
-    for s in range(0, len(i), 1 << 16):
-        pi, qj = p[i[s : s + (1 << 16)]], q[j[s : s + (1 << 16)]]
-        least = np.where((pi[:, :, None] == qj[:, None, :]).any(2), pi, np.iinfo(np.int32).max).min(1)
-        keep[s : s + (1 << 16)] = least == pivot
-    return i[keep], j[keep]
+    return i, j
 
 
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -140,10 +158,13 @@ def _one_dimension(heads: DataFrame, n: int, dim: int, cosine: float, prefix: in
     """(a, n, b): a head's links, weighted by copies, and a head it is connected with; by cells."""
     spark = heads.sparkSession
     count = pivot_count(n, dim)
-    shared = min(shared, count)
-    picked = heads.orderBy(F.xxhash64(F.lit(seed), "h1"), "h2").limit(count).select("vec").collect()  # bounded by MOST_PIVOTS and MOST_BYTES
+    sample = max(1, min(MOST_PIVOTS, MOST_BYTES // (8 * dim), SPARE * count))
+    picked = heads.orderBy(F.xxhash64(F.lit(seed), "h1"), "h2").limit(sample).select("vec").collect()  # bounded by MOST_PIVOTS and MOST_BYTES
     pivots = np.array([r["vec"] for r in picked], dtype=np.float64)
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots /= np.abs(pivots).max(1, keepdims=True)
+    pivots = apart(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), count)
+    count = len(pivots)
+    shared = min(shared, count)
     shared_pivots = spark.sparkContext.broadcast(pivots)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

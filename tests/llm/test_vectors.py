@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodeframe.llm import neardup_vectors, topk
@@ -69,6 +70,23 @@ def test_recall_in_many_dimensions(spark):
     assert sum(got.values()) >= 0.99 * sum(n for n, _ in want.values()) > 500
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.295])  # cosines of the group's pairs around 0.99 and 0.92
+def test_recall_in_a_large_group_of_near_copies(spark, spread):
+    rng = np.random.default_rng(11)
+    n, dim = 30_000, 64
+    x = rng.normal(size=(n, dim))
+    x[::3] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(n // 3, dim)) * spread / np.sqrt(dim)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(x[s : s + 1000] @ x.T >= 0.9).sum(1) - 1 for s in range(0, n, 1000)])
+    rows = spark.createDataFrame(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array(list(x), pa.list_(pa.float64()))}))
+    got = {r.vec_id: r for r in neardup_vectors.link(rows).collect()}
+    links = np.array([got[i].n_links for i in range(n)])
+    assert len(got) == n and abs(want[::3].mean() - n / 3) < 0.2 * n / 3
+    assert (links <= want).all() and links.sum() >= 0.999 * want.sum()
+    linked = np.flatnonzero(want[::3]) * 3
+    assert {got[i].component_id for i in linked} == {linked.min()}
+
+
 def test_no_rows(spark):
     assert neardup_vectors.link(spark.createDataFrame([], KIND)).collect() == []
     assert topk.search(spark.createDataFrame([], KIND), "id % 50 = 0").collect() == []
