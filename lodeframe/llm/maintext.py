@@ -1,11 +1,14 @@
 """Main text of web pages: line-block distribution.
 
 The page's markup is stripped into lines, one for each block of text, leaving out elements
-that never hold the article (by element, role, or a word of class or id). The text
+that never hold the article (by element, role, or a name in class or id). A name counts if
+it says nothing else ('share', 'share-buttons', but not 'elementor-widget'); on headings no
+name does, on sections and inline elements no id, as ids are made from headings' words, and
+inside an article only ids of two such words or more. The text
 lengths of the lines, links not counted, are summed over sliding windows of `WINDOW` lines.
 A region starts where the sums surge to the threshold and ends where they dive below
 it; the region of most text is the core. If the core lies in an element that marks an
-article, all lines of that element are kept; else the lines between surge and dive, and
+article, all lines of the outermost such element are kept; else the lines between surge and dive, and
 beyond them those next lines that share their parent element with a line of the core.
 
 Defined cases: a null or empty page, or one without text, gives ''; markup may be cut off or
@@ -35,6 +38,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note", "tablist"}
 LEAVES = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE, MAIN = {"article"}, {"main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: words of class or id
 AWAY = set(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification "
@@ -42,14 +46,30 @@ AWAY = set(
     "footer foot comment comments commentlist respond replies disqus discussion share sharing social related recommended recommendations popular trending widget widgets "
     "popup modal overlay login search masthead topbar skip copyright".split()
 )
+#: these may stand with words of AWAY in one name
+FURNITURE = set("area bar block body bottom box btn button buttons container content global group header icon icons inner left link links list main module page post posts primary right row secondary section site slot thread title top unit wrap wrapper".split())
 #: these say that a block is beside the element, not that it is one
 BESIDE = {"with", "has", "no", "without", "hide", "hidden"}
 
 _TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*)([^>]*+)(?:>|\Z)|[!?/][^>]*+(?:>|\Z))""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|itemprop|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s"'>][^\s>]*)))?""")
 _ENDS = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 
 
+def _beside(name: str, value: str, tag: str, inside: bool) -> bool:
+    """Whether a class or id says that its element is not the article's."""
+    if tag in HEADINGS or name == "id" and (tag == "section" or tag in INLINE):
+        return False
+    for word in value.split():
+        parts = [p for p in re.split(r"[-_:]+", word) if p]
+        away = AWAY.intersection(parts)
+        if parts == ["header"] and not inside:
+            return True
+        if away and not BESIDE.intersection(parts) and all(p in AWAY or p in FURNITURE for p in parts) and (name == "class" or not inside or len(away) > 1):
+            return True
+    return False
+
+
 def _kind(tag: str, attributes: str, inside: bool) -> str:
     """'away' for what never holds the article, 'main' and 'article' for what marks it, else ''."""
     if tag in NEVER or tag == "header" and not inside:
@@ -67,15 +87,13 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
             elif name == "itemprop" and value == "articlebody":
                 kind = "article"
             elif name in ("class", "id") and tag not in ("html", "body", "main"):
-                for word in value.split():
-                    parts = re.split(r"[-_:]+", word)
-                    if AWAY.intersection(parts) and not BESIDE.intersection(parts) or parts == ["header"] and not inside:
-                        return "away"
+                if _beside(name, value, tag, inside):
+                    return "away"
     return kind
 
 
 def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
-    """Texts of the page's blocks, their lengths without links, and the numbers of their article (0: none) and of their parent."""
+    """Texts of the page's blocks, their lengths without links, and the numbers of their outermost article (0: none) and of their parent."""
     texts: list[str] = []
     sizes: list[int] = []
     articles: list[int] = []
@@ -95,7 +113,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
             if text:
                 texts.append(text)
                 sizes.append(max(0, len(text) - linked))
-                articles.append(marked[-1] if marked else 0)
+                articles.append(marked[0] if marked else 0)
                 parents.append(open_[-1][1] if open_ else 0)
             linked = 0
 
@@ -158,7 +176,9 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
             continue
         if tag == "p" or tag in ("li", "td", "th", "tr", "dt", "dd", "option") and open_ and open_[-1][0] == tag:
             while open_ and open_[-1][0] == "p" or open_ and tag != "p" and open_[-1][0] == tag:
-                open_.pop()
+                _, ended, _ = open_.pop()
+                if marked and marked[-1] == ended:
+                    marked.pop()
         if tag not in LEAVES:  # paragraphs and headings of one parent are alike
             number += 1
             open_.append((tag, number, kind))

@@ -34,6 +34,25 @@ def test_details():
         assert extract(nothing) == ""
 
 
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<div>%s</div>"])
+@pytest.mark.parametrize("open_, close", [("<div class='elementor-widget elementor-widget-text-editor'>", "</div>"), ("<section id='discussion'>", "</section>"), ("<section id='related-work'>", "</section>"), ('<div title="hidden gems">', "</div>"), ("<div data-x='a class=ad'>", "</div>"), ("<div class=wp-ad-free>", "</div>")])
+def test_what_names_only_resemble_stays(wrap, open_, close):
+    page = AROUND % (wrap % f"{open_}<p>{LONG}</p><p>{LONG}</p>{close}")
+    assert extract(page) == f"{LONG.strip()}\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("head", ["<h2 id='search'>Search</h2>", "<h2><span class='mw-headline' id='Discussion'>Search</span></h2>", "<h2 class='comments'>Search</h2>", "<p title='hidden gems'>Search</p>", "<p title='role=alert class=ad'>Search</p>"])
+def test_headings_and_quoted_values_stay(head):
+    assert extract(AROUND % f"<article><p>{LONG}</p>{head}<p>{LONG}</p></article>") == f"{LONG.strip()}\nSearch\n{LONG.strip()}"
+
+
+def test_the_outermost_article_is_kept():
+    inner = f"<h1>Head</h1><article><p>{LONG}</p><article><p>Quoted.</p></article><p>{LONG}</p></article><p>End.</p>"
+    want = f"Head\n{LONG.strip()}\nQuoted.\n{LONG.strip()}\nEnd."
+    assert extract(AROUND % f"<main>{inner}</main>") == extract(AROUND % f"<article>{inner}</article>") == want
+    assert extract(f"<table><tr><td itemprop=articleBody><p>{LONG}<td>beside</table>") == LONG.strip()
+
+
 def test_regions():
     assert core([5, 5, 80, 90, 2, 70, 3, 3, 3, 3, 60]) == (2, 6)
     assert core([]) == (0, 0) and core([0, 0]) == (0, 2) and core([4]) == (0, 1)
