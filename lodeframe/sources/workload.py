@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
 import time
 from dataclasses import dataclass
+from itertools import accumulate
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.functions.types import Schema
@@ -48,12 +52,30 @@ def imported(relations: dict[str, tuple[Schema, str]] | None = None) -> dict[str
 class Result:
     tuples: int
     seconds: float
+    #: sum of the hashes of the rows read at random; 0 where it isn't taken
+    checksum: int = 0
 
     @property
     def throughput(self) -> float:
         return self.tuples / self.seconds if self.seconds else float("inf")
 
 
+def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
+    """(at, row) of each row, numbered from 0 in the order of the scan, and their number."""
+    rows = df.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("i"), F.struct("*").alias("row"))
+    counts = sorted(map(tuple, rows.groupBy("part").count().collect()))  # one row a partition of the scan
+    before = accumulate((n for _, n in counts), initial=0)
+    offsets = df.sparkSession.createDataFrame([(part, x) for (part, _), x in zip(counts, before, strict=False)], "part int, offset long")
+    return rows.join(F.broadcast(offsets), "part").select((F.col("offset") + F.col("i")).alias("at"), "row"), sum(n for _, n in counts)
+
+
+def _shuffled(rng: random.Random, size: int) -> Column:
+    """A drawn permutation of the numbers `at` below size."""
+    most = max(1, min(size, (1 << 62) // size))  # products fit 64 bits
+    by = next(x for x in iter(lambda: rng.randint(1, most), None) if math.gcd(x, size) == 1)
+    return (F.col("at") * by + rng.randrange(size)) % size
+
+
 class Workload:
     def __init__(self, only: tuple[str, ...] | None = None, plain: bool = False):
         """plain: in the variant of imported()."""
@@ -84,16 +106,21 @@ class Workload:
         return Result(n, time.time() - start)
 
     def randomizedOperations(self, db: Database, names: list[str], share: float, seed: int = 12345) -> Result:
-        """As many reads by key as rows, a share of them at random places: joins of drawn keys with the relation."""
-        start, n = time.time(), 0
+        """As many reads as rows, a share of them at other, random places; every row read is fetched whole and hashed.
+
+        Rows are numbered as the scan deals them out. No two reads out of turn are at the same place.
+        """
+        start, n, total = time.time(), 0, 0
         for r in names:
-            df = db.table(r)
-            key = df.columns[0]
-            drawn = df.select(key, F.rand(seed).alias("u")).withColumn("out_of_turn", F.col("u") < share)
-            order = df.select(key).sample(fraction=share, seed=seed).distinct()
-            at_random = drawn.filter("out_of_turn").join(order, key, "left_semi").count()
-            n += drawn.filter("not out_of_turn").count() + at_random + drawn.filter("out_of_turn").join(order, key, "left_anti").count()
-        return Result(n, time.time() - start)
+            rows, size = _numbered(db.table(r))
+            if not size:
+                continue
+            rng = random.Random(f"{seed} {r}")
+            turn, place = _shuffled(rng, size), _shuffled(rng, size)
+            reads = rows.select(F.when(turn < math.floor(size * share), place).otherwise(F.col("at")).alias("at"))
+            got = reads.join(rows, "at").agg(F.count("*"), F.sum(F.xxhash64("row").cast("decimal(38,0)"))).first()
+            n, total = n + got[0], total + int(got[1] or 0)
+        return Result(n, time.time() - start, total)
 
     def runOperations(self, db: Database, mode: int) -> Result:
         if not self.loaded:

@@ -147,3 +147,16 @@ def test_workload(spark, tmp_path):
     w.createRelations(db)
     w.loadDataset(db, str(tmp_path), 0.5)
     assert 30 < db.known_count("orders") < 120
+
+
+def test_random_reads_fetch_whole_rows(spark, tmp_path):
+    (tmp_path / "orders.csv").write_text("\n".join(f"{i // 2}|{i % 15}|O|{i}.5|1996-01-{i % 28 + 1:02d}|1-URGENT|Clerk|0| lead " for i in range(150)))
+    w = Workload(only=("orders",))
+    db = Database(spark, str(tmp_path / "db"))
+    w.createRelations(db)
+    w.loadDataset(db, str(tmp_path))
+    every = sum(r[0] for r in db.table("orders").selectExpr("xxhash64(struct(*))").collect())
+    got = {share: w.randomizedOperations(db, ["orders"], share) for share in (0.0, 0.2, 0.5, 1.0)}
+    assert {r.tuples for r in got.values()} == {150}
+    assert got[0].checksum == got[1].checksum == every  # each row once, in turn and out of turn
+    assert len({got[0.2].checksum, got[0.5].checksum, w.randomizedOperations(db, ["orders"], 0.5, seed=1).checksum, every}) == 4
