@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeframe.llm.tables import drop, written
+from lodeframe.llm.tables import scratch, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -28,22 +28,20 @@ def _small_star(e: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node with an edge to another: component is the smallest node reachable.
 
-    Nulls and loops are left out; an empty input gives no row.
+    Nulls and loops are left out; an empty input gives no row. Rounds go on until none changes an edge.
     """
     spark = edges.sparkSession
     start = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    rows, path = written(start, "edges")
-    before = None
-    for _ in range(most_rounds):
-        state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before or not state[0]:
-            break
-        before, old = state, path
-        rows, path = written(_small_star(_large_star(rows)), "edges")
-        drop(spark, old)
-    else:
-        raise RuntimeError(f"components are not stable after {most_rounds} rounds")
-    return rows.select(F.col("a").alias("node"), F.col("b").alias("component")).union(rows.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+    with scratch(spark):
+        rows, before = written(start, "edges"), None
+        while True:
+            state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if state == before or not state[0]:
+                break
+            before = state
+            rows = written(_small_star(_large_star(rows)), "edges")
+        labels = rows.select(F.col("a").alias("node"), F.col("b").alias("component")).union(rows.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
+        return written(labels, "components", keep=True)

@@ -1,24 +1,24 @@
-"""Near-duplicate documents: MinHash bands, signature check, check on whole sets, components.
+"""Near-duplicate documents: MinHash bands, signature check, check on words, components.
 
-1. One pass over the texts gives each document the size and a 128-bit fingerprint of
-   its set of distinct word shingles, the hashes of its bands of universal-hash minima,
+1. One pass over the texts gives each document the size and a 128-bit fingerprint (two independent hashes, from the
+   bytes on) of its set of distinct word shingles, the hashes of its bands of universal-hash minima,
    and one byte of each minimum as signature. Documents of equal sets become one
-   representative, so groups of copies end here, by an aggregate that sums map-side.
-2. Every bucket (band hash) of two or more representatives links its members to the
-   least of them, the pivot: as many pairs as members. Pairs whose signatures agree
-   too little are left out; of the others, each document first checks its best pivot on whole
-   sets, then those pivots that are still in another component.
+   head, so groups of copies end here, by an aggregate that sums map-side.
+2. Every bucket (band hash) of two or more heads links its members to one
+   of them, the pivot: as many pairs as members. Pairs whose signatures agree
+   too little are left out; of the others, each head first checks its best pivot,
+   then those pivots that are still in another component.
 3. After components over true links, a bucket that still holds several components has
-   all members outside its largest one compared with all members of other components: by
-   signature, block against block in numpy, so that only pairs that may be links become
-   rows. These are checked on whole sets. So any two members of one bucket are in one component
-   or were compared themselves: no link of two bucket mates is lost, and no group emits
-   all its pairs.
-
-With 32 bands of 4 minima, documents of similarity 0.75 share no bucket with a chance of
-5e-6. A signature of 256 bytes agrees in under 156 at that similarity with a chance of
-about 1e-7. Sets of shingle hashes meet by pivot; a pivot with many partners is cut into
-several cells, each with the pivot's set and at most some `CELL` partners.
+   all members outside its largest one (strays) compared with all members of other components, block against
+   block in numpy. A pair is looked at in the first band that its two share, so once. A first pass over signatures
+   tells which members of a cell have a partner at all; only their texts are sent, and the cell returns a
+   forest of links, at most one for each member. So any two heads that share a bucket are in one component
+   or were compared themselves: no link of two bucket mates is lost, no group emits
+   all its pairs, and no task gets more than one cell at a time.
+
+Links are checked on the texts' words: hashes only choose what is compared. With 32 bands of 4 minima, documents of
+similarity 0.75 share no bucket with a chance of 5e-6 under ideal hashing; README has what was measured. A
+pivot with many partners is cut into cells, each with the pivot's text and some `CELL` partners.
 """
 
 from __future__ import annotations
@@ -27,20 +27,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import words as W
 from lodeframe.llm.components import components
-from lodeframe.llm.tables import drop, partitions, written
+from lodeframe.llm.tables import fits, partitions, scratch, written
 
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 #: minima in a signature (the first of them make the bands), and how many of its bytes must agree
 SIGNATURE, AGREE = 256, 156
-#: members of a bucket in one block
-BLOCK = 1024
+#: members of a bucket in one block, and their shingles
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 #: partners of a pivot in one cell
 CELL = 512
+#: a text that has a word
+WORDY = r"[^\x20\x09-\x0D]"
 
 
 def universal(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
@@ -49,21 +51,28 @@ def universal(n: int, seed: int = 20) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 1 << 31, n, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, n, dtype=np.uint32)
 
 
-def distinct_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs (a, b, hashes, first) of documents: each document's distinct shingle hashes, sorted."""
+def distinct_sets(column: pa.Array, k: int, bits: int = 64) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs (a, b, h, g, first) of documents: two hashes of each document's distinct shingles.
+
+    `bits` of the first hash are kept; shingles are told apart by both.
+    """
     raw, offsets = W.column_bytes(column)
     for a, b in W.steps(raw, offsets):
         r, o = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         starts, ends, first = W.spans(r, o)
-        h, first = W.shingles(W.word_hashes(r, starts, ends, lower=True), first, k)
+        h, g = (W.shingles(W.word_hashes(r, starts, ends, lower=True, second=x), first, k)[0] for x in (False, True))
+        first = W.shingle_counts(first, k)
+        h = W.mixed(h & np.uint64((1 << bits) - 1))
         doc = np.repeat(np.arange(b - a), np.diff(first))
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(g, kind="stable")
         order = order[np.argsort(doc[order], kind="stable")]
-        h, doc = h[order], doc[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-        h, doc = h[fresh], doc[fresh]
-        yield a, b, h, np.searchsorted(doc, np.arange(b - a + 1))
+        same = (doc[order[1:]] == doc[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
+        if (same & (h[order[1:]] != h[order[:-1]])).any():
+            order = np.lexsort((h, g, doc))
+            same = (doc[order[1:]] == doc[order[:-1]]) & (g[order[1:]] == g[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+        fresh = np.concatenate((np.ones(min(1, len(h)), dtype=bool), ~same))
+        h, g, doc = (x[order][fresh] for x in (h, g, doc))
+        yield a, b, h, g, np.searchsorted(doc, np.arange(b - a + 1))
 
 
 def minima(h: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -86,17 +95,31 @@ def minima(h: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, step:
     return out
 
 
-def describe(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, f1, f2 (set fingerprint), bands (array of long), signature (binary); one row a document."""
+def prints(h: np.ndarray, g: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """(2, documents): two independent 64-bit fingerprints of each document's set."""
+    out = np.zeros((2, len(first) - 1), dtype=np.uint64)
+    full = np.flatnonzero(np.diff(first))
+    if len(h):
+        out[0, full] = np.add.reduceat(W.mixed(h), first[full])
+        out[1, full] = np.add.reduceat(W.mixed2(g), first[full])
+    return out.view(np.int64)
+
+
+def text_keys(text: Column) -> list[Column]:
+    """Two hashes of a text as it stands, to find it again under an id."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def describe(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, bits: int = 64) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, f1, f2 (set fingerprint), bands (array of long), signature (binary); one row a document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = universal(max(SIGNATURE, bands * rows))
         for batch in batches:
-            ids = batch.column("doc_id")
-            for lo, hi, h, first in distinct_sets(batch.column("text"), k):
+            for lo, hi, h, g, first in distinct_sets(batch.column("text"), k, bits):
                 n, sizes = hi - lo, np.diff(first)
-                f1, f2 = prints(h, first)
+                f1, f2 = prints(h, g, first)
                 least = minima(h, first, a, b)
                 keys = np.zeros((n, bands), dtype=np.uint64)
                 for band in range(bands):
@@ -107,43 +130,18 @@ def describe(docs: DataFrame, k: int = SHINGLE, bands: int = BANDS, rows: int =
                 signature = np.ascontiguousarray(W.mixed(least[:SIGNATURE].T.astype(np.uint64)).astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(lo, n),
+                        *(batch.column(c).slice(lo, n) for c in ("doc_id", "t1", "t2")),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(f1),
                         pa.array(f2),
                         pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * bands, pa.array(keys.reshape(-1).view(np.int64))),
                         pa.array([s.tobytes() for s in signature], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "bands", "signature"],
+                    ["doc_id", "t1", "t2", "n_shingles", "f1", "f2", "bands", "signature"],
                 )
 
-    rows_in = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows_in.mapInArrow(run, f"doc_id {kind}, n_shingles long, f1 long, f2 long, bands array<long>, signature binary")
-
-
-def prints(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(2, documents): two independent 64-bit fingerprints of each document's set."""
-    out = np.zeros((2, len(first) - 1), dtype=np.uint64)
-    full = np.flatnonzero(np.diff(first))
-    if len(h):
-        out[0, full] = np.add.reduceat(W.mixed(h), first[full])
-        out[1, full] = np.add.reduceat(W.mixed(h ^ np.uint64(W.BASE2)), first[full])
-    return out.view(np.int64)
-
-
-def sets_of(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """Of rows (doc, text, f1, f2): doc, items (the sorted distinct shingle hashes as bytes), where the text's set has that fingerprint."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("doc")
-            wanted = np.stack([batch.column(c).to_numpy() for c in ("f1", "f2")])
-            for lo, hi, h, first in distinct_sets(batch.column("text"), k):
-                ok = (prints(h, first) == wanted[:, lo:hi]).all(0)
-                items = pa.array([h[first[i] : first[i + 1]].tobytes() for i in np.flatnonzero(ok)], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo).filter(pa.array(ok)), items], ["doc", "items"])
-
-    return docs.mapInArrow(run, "doc long, items binary")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", *text_keys(text), text.alias("text")).mapInArrow(run, f"doc_id {kind}, t1 long, t2 long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary")
 
 
 def similar_signatures(pairs: DataFrame, signatures: DataFrame, agree: int = AGREE) -> DataFrame:
@@ -162,133 +160,138 @@ def similar_signatures(pairs: DataFrame, signatures: DataFrame, agree: int = AGR
     return joined.mapInArrow(run, "a long, b long, agreed long")
 
 
-def similar_strays(rows: DataFrame, agree: int = AGREE) -> DataFrame:
-    """main, x, ys: strays with those bucket mates in other components whose signatures agree; a row for each cell and stray.
+def shingle_set(text: str, k: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The distinct shingles themselves."""
+    w = text.encode().lower().split()
+    return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
+
+
+def alike(both: int | np.ndarray, one: int | np.ndarray, two: int | np.ndarray, percent: int = PERCENT) -> bool | np.ndarray:
+    """Whether sets of these sizes share that percentage of their union, by the size of their intersection."""
+    return 100 * both >= percent * (one + two - both)
+
 
-    rows: bucket, doc, c (component), main, signature, blocks and stray_blocks (numbers of blocks of the bucket's
-    members and strays). A cell is a block of strays against a block of members of one bucket; two strays are looked at once.
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Of distinct pairs (a, b): the true links, checked on words.
+
+    b's text is sent to each cell of b, a's text to its cell of b: one exchange, keyed
+    by (b, cell), in whose order a task holds one cell's pivot and one partner at a time.
     """
+    n = partitions(pairs.sparkSession)
+    cells = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"))
+    to = pairs.join(cells, "b").select(F.col("a").alias("doc"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("cells")).alias("cell"), F.lit(1).alias("place"))
+    own = cells.select(F.col("b").alias("doc"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(0).alias("place"))
+    sent = to.union(own).join(texts, "doc").select("pivot", "cell", "place", "doc", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, mine = None, set()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for pivot, cell, place, doc, text in zip(*(batch.column(i) for i in range(5)), strict=True):
+                pivot, theirs = pivot.as_py(), shingle_set(text.as_py(), k)
+                if not place.as_py():
+                    current, mine = (pivot, cell.as_py()), theirs
+                    continue
+                assert current == (pivot, cell.as_py())
+                if alike(len(mine & theirs), len(mine), len(theirs), percent):
+                    found.append((doc.as_py(), pivot))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return sent.repartition(n, "pivot", "cell").sortWithinPartitions("pivot", "cell", "place").mapInArrow(run, "a long, b long")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of split buckets, sent to their cells (bucket, i, j): a block i of strays against a block j of members."""
     every = F.sequence(F.lit(0), F.col("n") - 1)
     part = lambda n: F.pmod(F.xxhash64("doc"), F.col(n)).cast("int")
-    columns = ["bucket", "i", "j", "stray", "doc", "c", "main", "signature"]
+    columns = ["bucket", "i", "j", "stray", "doc", "c", "main", "n_shingles", "signature", "bands"]
     members = rows.withColumn("n", F.col("stray_blocks")).select("*", part("blocks").alias("j"), F.explode(every).alias("i"), F.lit(False).alias("stray")).select(*columns)
     strays = rows.filter("c <> main").withColumn("n", F.col("blocks")).select("*", part("stray_blocks").alias("i"), F.explode(every).alias("j"), F.lit(True).alias("stray")).select(*columns)
+    return members.union(strays)
 
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        stray = table.column("stray").to_numpy()
-        doc, c, main = (table.column(x).to_numpy() for x in ("doc", "c", "main"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(doc), -1)
-        two = np.flatnonzero(~stray)
-        xs, ys = [], []
-        for x in np.flatnonzero(stray):
-            mates = two[(c[two] != c[x]) & ((c[two] == main[x]) | (doc[two] < doc[x]))]
-            y = mates[(sig[mates] == sig[x]).sum(1) >= agree]
-            if len(y):
-                xs.append(doc[x])
-                ys.append(doc[y])
-        return pa.table({"main": pa.array(main[:1].repeat(len(xs)), pa.int64()), "x": pa.array(xs, pa.int64()), "ys": pa.array(ys, pa.list_(pa.int64()))})
-
-    return members.union(strays).groupBy("bucket", "i", "j").applyInArrow(run, "main long, x long, ys array<long>")
-
-
-def confirmed_strays(found: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of rows (main, x, ys): the true links (a, b), checked on whole sets.
-
-    Strays around one component have much the same candidates. So `CELL` strays at a time share one copy of each
-    candidate's set, in parts of 4 * CELL candidates: what is sent grows with documents, not with pairs.
-    """
-    n = partitions(found.sparkSession)
-    groups = found.select("main", "x").distinct().groupBy("main").agg(F.ceil(F.count("*") / CELL).cast("int").alias("groups"))
-
-    def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        main, group = (k.as_py() for k in key)
-        ys = table.column("ys").combine_chunks()
-        y = ys.flatten().to_numpy()
-        x = np.repeat(table.column("x").to_numpy(), np.diff(ys.offsets.to_numpy()))
-        order = np.lexsort((x, y))
-        x, y = x[order], y[order]
-        fresh = np.ones(len(x), dtype=bool)
-        fresh[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        x, y = x[fresh], y[fresh]
-        others, first = np.unique(y, return_index=True)
-        cuts = np.append(first, len(y))
-        part = np.arange(len(others)) // (4 * CELL)
-        own = np.unique(x)
-        parts = int(part[-1]) + 1
-        docs = np.concatenate([others, np.tile(own, parts)])
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([cuts, np.full(parts * len(own), len(y))]).astype(np.int32)), pa.array(x, pa.int64()))
-        size = len(docs)
-        return pa.table({"main": pa.array([main] * size, pa.int64()), "part": pa.array(group * (1 << 20) + np.concatenate([part, np.repeat(np.arange(parts), len(own))]), pa.int64()), "doc": pa.array(docs, pa.int64()), "xs": lists})
-
-    grouped = found.join(groups, "main").withColumn("group", F.pmod(F.xxhash64("x"), F.col("groups")).cast("int")).repartition(n, "main", "group").groupBy("main", "group")
-    sent = grouped.applyInArrow(gather, "main long, part long, doc long, xs array<long>").join(sets, "doc").select("main", "part", "doc", "xs", "items")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[int, np.ndarray]] = {}
-        waiting: dict[tuple, list] = {}
-        for batch in batches:
-            for main, part, doc, xs, items in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                items = np.frombuffer(items, dtype=np.uint64)
-                if xs:
-                    waiting.setdefault((main, part), []).append((doc, xs, items))
-                else:
-                    held.setdefault((main, part), {})[doc] = items
-        for key in list(waiting):
-            found = [(x, doc) for doc, xs, items in waiting.pop(key) for x in xs if alike(held[key][x], items, percent)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+class Cell:
+    """The strays and members of one cell; mates() gives the pairs that it answers for."""
 
-    return sent.repartition(n, "main", "part").mapInArrow(run, "a long, b long")
+    def __init__(self, bucket: int, table: pa.Table, agree: int, percent: int):
+        self.stray = table.column("stray").to_numpy()
+        self.doc, self.c, self.main, self.size = (table.column(x).to_numpy() for x in ("doc", "c", "main", "n_shingles"))
+        self.signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint8).reshape(len(self.doc), -1)
+        self.bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(self.doc), -1)
+        self.bucket, self.agree, self.percent = bucket, agree, percent
+        self.two = np.flatnonzero(~self.stray)
 
+    def mates(self, x: int) -> np.ndarray:
+        """Members of other components that stray x is compared with here: near by size and signature, and in no earlier band.
 
-def alike(one: np.ndarray, two: np.ndarray, percent: int = PERCENT) -> bool:
-    """Whether two sorted sets share that percentage of their union."""
-    small, large = sorted((one, two), key=len)
-    if 100 * len(small) < percent * len(large) or not len(large):
-        return False
-    at = np.searchsorted(large, small)
-    at[at == len(large)] = 0
-    both = int((large[at] == small).sum())
-    return 100 * both >= percent * (len(small) + len(large) - both)
+        Two strays are looked at once.
+        """
+        c, two = self.c, self.two
+        y = two[(c[two] != c[x]) & ((c[two] == self.main[x]) | (self.doc[two] < self.doc[x]))]
+        small, large = np.minimum(self.size[y], self.size[x]), np.maximum(self.size[y], self.size[x])
+        y = y[100 * small >= self.percent * large]
+        y = y[(self.signature[y] == self.signature[x]).sum(1) >= self.agree]
+        band = int(np.argmax(self.bands[x] == self.bucket))
+        return y[~(self.bands[y, :band] == self.bands[x, :band]).any(1)]
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Of distinct pairs (a, b): the true links, checked on whole sets.
+def with_partners(cells: DataFrame, agree: int = AGREE, percent: int = PERCENT) -> DataFrame:
+    """Those rows of cells that have a pair to check in their cell."""
 
-    b's set is sent to each cell of b, a's set to its cell of b: one exchange, keyed
-    by (b, cell), with the sets as bytes.
-    """
-    n = partitions(pairs.sparkSession)
-    cells = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).cast("long").alias("cells"))
-    to = pairs.join(cells, "b").select(F.col("a").alias("doc"), F.col("b").alias("pivot"), F.pmod(F.xxhash64("a"), F.col("cells")).alias("cell"), F.lit(False).alias("own"))
-    own = cells.select(F.col("b").alias("doc"), F.col("b").alias("pivot"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.lit(True).alias("own"))
-    sent = to.union(own).join(sets, "doc").select("pivot", "cell", "own", "doc", "items")
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cell = Cell(key[0].as_py(), table, agree, percent)
+        used = np.zeros(len(cell.doc), dtype=bool)
+        for x in np.flatnonzero(cell.stray):
+            y = cell.mates(x)
+            used[x] = len(y) > 0
+            used[y] = True
+        return table.filter(pa.array(used))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, np.ndarray] = {}
-        waiting: dict[tuple, list] = {}
-        found: list[tuple[int, int]] = []
+    return cells.groupBy("bucket", "i", "j").applyInArrow(run, cells.schema)
 
-        def check(pivot: int, mine: np.ndarray, doc: int, items: np.ndarray) -> None:
-            if alike(mine, items, percent):
-                found.append((doc, pivot))
 
-        for batch in batches:
-            for pivot, cell, own, doc, items in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                items, key = np.frombuffer(items, dtype=np.uint64), (pivot, cell)
-                if own:
-                    held[key] = items
-                    for d, x in waiting.pop(key, ()):
-                        check(pivot, items, d, x)
-                elif key in held:
-                    check(pivot, held[key], doc, items)
-                else:
-                    waiting.setdefault(key, []).append((doc, items))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-                found.clear()
+def linked_strays(cells: DataFrame, texts: DataFrame, k: int = SHINGLE, agree: int = AGREE, percent: int = PERCENT) -> DataFrame:
+    """True links (a, b) of the cells' pairs, checked on words: a forest over each cell's components.
 
-    return sent.repartition(n, "pivot", "cell").mapInArrow(run, "a long, b long")
+    A cell numbers its shingles by the words themselves; a stray's set is marked, and all of its mates are counted at once.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cell = Cell(key[0].as_py(), table, agree, percent)
+        number: dict[tuple[bytes, ...], int] = {}
+        at_doc: dict[int, np.ndarray] = {}
+        for d, t in zip(cell.doc.tolist(), table.column("text"), strict=True):
+            if d not in at_doc:
+                at_doc[d] = np.array([number.setdefault(s, len(number)) for s in shingle_set(t.as_py(), k)], dtype=np.int64)
+        items = [at_doc[d] for d in cell.doc.tolist()]
+        size = np.array([len(x) for x in items])
+        mark = np.zeros(len(number), dtype=bool)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        a, b = [], []
+        for x in np.flatnonzero(cell.stray):
+            y = np.array([m for m in cell.mates(x) if find(int(cell.c[m])) != find(int(cell.c[x]))], dtype=np.int64)
+            if not len(y):
+                continue
+            mark[items[x]] = True
+            both = np.add.reduceat(mark[np.concatenate([items[m] for m in y])].astype(np.int64), np.concatenate(([0], np.cumsum(size[y])[:-1])))
+            mark[items[x]] = False
+            for m in y[alike(both, size[x], size[y], percent)]:
+                p, q = find(int(cell.c[x])), find(int(cell.c[m]))
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    a.append(int(cell.doc[x]))
+                    b.append(int(cell.doc[m]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cells.join(texts, "doc").groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def _crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -298,58 +301,87 @@ def _crossing(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = 64) -> DataFrame:
+    """doc_id, t1, t2, n_shingles, root, component_id; one row a document, written.
+
+    Rows are linked by their own texts, whatever their ids: root names the class of linked rows, component_id is the
+    least id in it. Both are null for rows with a null id or without words.
+    """
+    spark = docs.sparkSession
+    with scratch(spark):
+        described = written(describe(docs, k, bands, rows, bits), "described")
+        real = described.filter("doc_id is not null and n_shingles > 0").withColumn("doc_id", F.col("doc_id").cast("long"))
+        same = ["f1", "f2", "n_shingles"]
+        # a head for each set: equal sets have equal bands and signatures. The written table fixes the numbers
+        found = real.groupBy(*same).agg(F.min(F.struct("doc_id", "t1", "t2")).alias("who"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+        heads = written(found.select(F.monotonically_increasing_id().alias("doc"), "who.*", *same, "bands", "signature"), "heads")
+        posted = heads.select(F.explode("bands").alias("bucket"), "doc")
+        buckets = posted.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        members = written(posted.join(buckets, "bucket"), "members")
+        mates = written(heads.join(members.select("doc").distinct(), "doc").select("doc", "doc_id", "t1", "t2", "n_shingles", "signature", "bands"), "mates")
+        text = F.col("text").cast("string")
+        own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), *text_keys(text), text.alias("text"))
+        own = own.join(mates.select("doc", "doc_id", "t1", "t2").hint("merge"), ["doc_id", "t1", "t2"])
+        texts = written(own.groupBy("doc_id", "t1", "t2").agg(F.first("doc").alias("doc"), F.first("text").alias("text")).select("doc", "text"), "texts")
+
+        near = members.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
+        near = written(similar_signatures(near, mates), "near")
+        best = near.groupBy("a").agg(F.max_by("b", F.struct("agreed", -F.col("b"))).alias("b"))
+        links = written(confirmed(best, texts, k, percent), "links")
+        more = _crossing(near.join(best, ["a", "b"], "left_anti").select("a", "b"), components(links))
+        links = links.union(written(confirmed(more, texts, k, percent), "links"))
+
+        # what buckets hold beyond their largest component
+        tagged = members.join(components(links).withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("c"))
+        tagged = tagged.join(mates.select("doc", "n_shingles"), "doc")
+        sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+        main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("s").alias("s"), F.max_by("s", F.struct("n", "c")).alias("most_s")).filter("n > most")
+        parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+        main = main.select("bucket", "main", parts(F.col("n"), F.col("s")).alias("blocks"), parts(F.col("n") - F.col("most"), F.col("s") - F.col("most_s")).alias("stray_blocks"))
+        split = tagged.drop("n_shingles").join(main, "bucket").join(mates.select("doc", "n_shingles", "signature", "bands"), "doc")
+        partners = written(with_partners(_cells(split), percent=percent), "partners")
+        late = written(linked_strays(partners, texts, k, percent=percent), "links")
+
+        roots = heads.select("doc", "doc_id", *same).join(components(links.union(late)).withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("component", "doc"))
+        roots = written(roots.select("doc_id", *same, "root"), "roots")
+        named = roots.join(roots.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select(*same, "root", "component_id")
+        linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+        out = described.select("doc_id", "t1", "t2", *same).join(named, same, "left")
+        return written(out.select("doc_id", "t1", "t2", "n_shingles", *(F.when(linkable, F.col(c)).alias(c) for c in ("root", "component_id"))), "classes", keep=True)
+
+
+def link(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, bits: int = 64) -> DataFrame:
     """Of docs (doc_id long, text): doc_id, n_shingles, component_id, kept; one row a document.
 
     Defined cases: null and empty texts, and texts of white space alone, have an empty
-    set and link with nothing; fewer than k words are one shingle; rows with a null id
-    link with nothing, have no component and are kept; rows that repeat an id share its
-    component, and if their texts differ, the near links of the id are those of its
-    largest set; an empty table gives no row.
+    set and link with nothing; fewer than k words are one shingle; texts of any length are taken whole; rows with a null id
+    link with nothing, have no component and are kept; rows that repeat an id are rows of their own, each linked by its own
+    text, so rows of one id and different texts may have different components; equal rows are equal documents; an
+    empty table gives no row; further columns, whatever their names, are left out. `bits` of the hash that finds candidates are kept.
     """
-    spark = docs.sparkSession
-    described, described_path = written(describe(docs, k, bands, rows), "described")
-    real = described.filter("doc_id is not null and n_shingles > 0").withColumn("doc", F.col("doc_id").cast("long"))
-    same = ["f1", "f2", "n_shingles"]
-    # one representative for each set: equal sets have equal bands and signatures
-    heads, heads_path = written(real.groupBy(*same).agg(F.min("doc").alias("doc"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "heads")
-    copies = real.select("doc", *same).join(heads.select(*same, F.col("doc").alias("head")), same).filter("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b"))
-    once_path = None
-    if heads.groupBy("doc").count().filter("count > 1").limit(1).count():  # an id with several texts stands for its largest set
-        first = heads.groupBy("doc").agg(F.max(F.struct("n_shingles", "f1", "f2")).alias("s")).select("doc", "s.*")
-        heads, once_path = written(heads.join(first, ["doc", *same]), "heads")
-    posted = heads.select(F.explode("bands").alias("bucket"), "doc")
-    buckets = posted.groupBy("bucket").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    members, members_path = written(posted.join(buckets, "bucket"), "members")
-    signatures = heads.select("doc", "f1", "f2", "signature").join(members.select("doc").distinct(), "doc")
-    signatures, signatures_path = written(signatures, "signatures")
-    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    sets, sets_path = written(sets_of(texts.join(signatures.select("doc", "f1", "f2").hint("merge"), "doc"), k), "sets")
-
-    near = similar_signatures(members.filter("doc <> pivot").select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct(), signatures)
-    near, near_path = written(near, "near")
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("agreed", -F.col("b"))).alias("b"))
-    links, links_path = written(confirmed(best, sets, percent), "links")
-    comp = components(links)
-    more, more_path = written(confirmed(_crossing(near.join(best, ["a", "b"], "left_anti").select("a", "b"), comp), sets, percent), "links")
-    links = links.union(more)
-    comp, comp_path = written(components(links), "comp")
-
-    # what buckets hold beyond their largest component
-    tagged = members.join(comp.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("c"))
-    sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most")).filter("n > most")
-    main = main.select("bucket", "main", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("stray_blocks"))
-    split, split_path = written(tagged.join(main, "bucket").join(signatures.select("doc", "signature"), "doc"), "split")
-    pairs, pairs_path = written(similar_strays(split), "pairs")
-    late, late_path = written(confirmed_strays(pairs, sets, percent), "links")
-
-    comp = components(links.union(late).union(copies))
-    own = described.select("doc_id", "n_shingles", F.col("doc_id").cast("long").alias("node"))
-    out = own.join(comp, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"), F.coalesce(F.col("component") == F.col("node"), F.lit(True)).alias("kept"))
-    out, _ = written(out, "linked")
-    if once_path:
-        drop(spark, once_path)
-    for path in (described_path, heads_path, members_path, signatures_path, sets_path, near_path, links_path, more_path, comp_path, split_path, pairs_path, late_path):
-        drop(spark, path)
-    return out
+    with scratch(docs.sparkSession):
+        found = classes(docs, k, percent, bands, rows, bits)
+        id_ = F.col("doc_id").cast("long")
+        component = F.coalesce("component_id", id_)
+        return written(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == id_, F.lit(True)).alias("kept")), "linked", keep=True)
+
+
+def firsts(docs: DataFrame, **options) -> DataFrame:
+    """docs' rows, one of each class of linked rows: of least id, then of least text hash; equal rows of one id and text are one.
+
+    Rows with a null id or without words are in no class and stay.
+    """
+    spark, text = docs.sparkSession, F.col("text").cast("string")
+    found = classes(docs, **options).filter("root is not null")
+    who = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("k0"), F.col("t1").alias("k1"), F.col("t2").alias("k2"))).alias("who")).select("who.*")
+    often = found.groupBy(F.col("doc_id").cast("long").alias("k0"), F.col("t1").alias("k1"), F.col("t2").alias("k2")).agg(F.count("*").alias("n"))
+    keys = ["k0", "k1", "k2"]
+    who = written(who.join(often, keys), "firsts", keep=True)
+    t1, t2 = text_keys(text)
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k0"), t1.alias("k1"), t2.alias("k2"))
+    single, several = who.filter("n = 1").drop("n"), who.filter("n > 1").drop("n")
+    if not fits(who):
+        single = single.hint("shuffle_hash")
+    kept = rows.join(single, keys).select("row").union(rows.join(several, keys).dropDuplicates(keys).select("row"))
+    alone = docs.filter(F.col("doc_id").isNull() | ~F.coalesce(text.rlike(WORDY), F.lit(False)))
+    return kept.select("row.*").union(alone)

@@ -62,7 +62,7 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
     """Of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken; one row a document."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    rows, _ = written(sized, "mix-sizes")  # the texts are read once; what follows reads these narrow rows
+    rows = written(sized, "mix-sizes", keep=True)  # the texts are read once; what follows reads these narrow rows
     rows = rows.withColumns({"source_key": key, "step": size_step(F.col("size")), "part": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)})
     cell = ["source_key", "step", "part"]
     counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm.components import components
-from lodeframe.llm.tables import drop, partitions, written
+from lodeframe.llm.tables import scratch, written
 from lodeframe.llm.vectors import finite
 
 COSINE, PREFIX, SHARED, BLOCK = 0.9, 8, 1, 1024

@@ -3,6 +3,10 @@
 A word is a longest run of bytes other than space and \\x09-\\x0D. No other
 UTF-8 byte falls in that set, so working on bytes equals working on characters.
 All arithmetic is modulo 2**64.
+
+A word's hash is the sum over its blocks of 8 bytes, each mixed non-linearly with a key of its
+place, mixed again with the length: no structure of letters cancels out, as it may in a polynomial. The
+second hash has keys and a mixer of its own, from the bytes on.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ _LOWER = _SAME.copy()
 _LOWER[65:91] += 32
 #: bytes outside words where punctuation counts as a separator too: ASCII but letters and digits
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: masks of the first n bytes of a block
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 #: bytes of text that one step works on, unless a single document is longer
 STEP = 1 << 20
 
@@ -67,6 +73,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def mixed2(x: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser."""
+    x = x ^ (x >> np.uint64(33))
+    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
 def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -106,16 +122,24 @@ def spans(raw: np.ndarray, offsets: np.ndarray, apart: np.ndarray = _SPACE) -> t
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False, second: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word; `second` gives an independent one."""
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
+    mix, salt = (mixed2, np.uint64(BASE2)) if second else (mixed, np.uint64(BASE))
+    padded = np.zeros(len(raw) + 8, dtype=np.uint8)
+    padded[: len(raw)] = _LOWER[raw] if lower else raw
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded, 0, (1,))  # the 8 bytes from each place on
     lengths = ends - starts
-    base = np.concatenate(([0], np.cumsum(lengths)))
-    where = np.arange(base[-1]) + np.repeat(starts - base[:-1], lengths)
-    value = (_LOWER if lower else _SAME)[raw[where]].astype(np.uint64) + np.uint64(1)
-    value *= powers(BASE)(where - np.repeat(starts, lengths))
-    return mixed(np.add.reduceat(value, base[:-1]) + lengths.astype(np.uint64) * np.uint64(BASE2))
+    out = mix((eight[starts] & _FIRST[np.minimum(lengths, 8)]) + salt)
+    long = np.flatnonzero(lengths > 8)
+    if len(long):
+        more = (lengths[long] - 1) >> 3  # blocks after the first
+        cuts = np.concatenate(([0], np.cumsum(more)[:-1]))
+        j = np.arange(int(more.sum())) - np.repeat(cuts, more) + 1
+        block = eight[np.repeat(starts[long], more) + 8 * j] & _FIRST[np.minimum(np.repeat(lengths[long], more) - 8 * j, 8)]
+        out[long] += np.add.reduceat(mix(block + mix((j + 1).astype(np.uint64) * salt)), cuts)
+    return mix(out + lengths.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def window_hashes(words: np.ndarray, k: int, base: int = BASE) -> np.ndarray:
@@ -142,15 +166,19 @@ def kept_windows(first: np.ndarray, k: int) -> np.ndarray:
     return out + np.repeat(first[:-1] - np.concatenate(([0], np.cumsum(full)[:-1])), full)
 
 
+def shingle_counts(first: np.ndarray, k: int) -> np.ndarray:
+    """By document the index of its first shingle, with one more at the end: fewer than k words make one, none makes none."""
+    counts = np.diff(first)
+    return np.concatenate(([0], np.cumsum(np.where(counts >= k, counts - k + 1, counts > 0))))
+
+
 def shingles(words: np.ndarray, first: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, first): each document's k-word shingles, repeats included; fewer words make one shingle, none makes none."""
-    counts = np.diff(first)
-    sizes = np.where(counts >= k, counts - k + 1, (counts > 0).astype(counts.dtype))
-    out_first = np.concatenate(([0], np.cumsum(sizes)))
+    counts, out_first = np.diff(first), shingle_counts(first, k)
     out = np.empty(out_first[-1], dtype=np.uint64)
     long = counts >= k
     whole = window_hashes(words, k)
-    fill = np.repeat(long, sizes)
+    fill = np.repeat(long, np.diff(out_first))
     out[fill] = mixed(whole[kept_windows(first, k)])
     for d in np.flatnonzero((counts > 0) & ~long):
         x = 0

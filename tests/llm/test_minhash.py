@@ -1,11 +1,16 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 
+import pytest
+
 from lodeframe.llm import minhash
 from lodeframe.llm.components import components
 
+from .test_substrings import thue_morse
+
 
 def shingles(text, k=5):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
@@ -14,34 +19,31 @@ def shingles(text, k=5):
 
 
 def brute(rows):
-    """id -> (n_shingles, component) of rows (id, text) with distinct ids."""
-    sets = {i: shingles(t) for i, t in rows}
-    label = {i: i for i in sets}
+    """For each row (id, text): (n_shingles, component), by pairs of rows; null ids link with nothing."""
+    sets = [shingles(r[1]) for r in rows]
+    label = list(range(len(rows)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    ids = sorted(sets)
-    for i in ids:
-        for j in ids:
-            if i < j and sets[i] and sets[j]:
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and rows[i][0] is not None and rows[j][0] is not None:
                 both = len(sets[i] & sets[j])
                 if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
                     a, b = find(i), find(j)
                     label[max(a, b)] = min(a, b)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), r[0]), r[0]) if r[0] is not None else None
+    return [(len(s), least[find(i)]) for i, s in enumerate(sets)]
 
 
 def check(got, rows):
-    want = brute({(r[0], r[1]) for r in rows if r[0] is not None})
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id) == want[r.doc_id] and r.kept == (r.doc_id == r.component_id)
+    want = Counter((r[0], n, c, c is None or c == r[0]) for r, (n, c) in zip(rows, brute(rows), strict=True))
+    assert Counter(map(tuple, got)) == want
 
 
 def test_equals_brute_force(docs, clashing, corpus):
@@ -49,14 +51,39 @@ def test_equals_brute_force(docs, clashing, corpus):
     check(minhash.link(clashing).collect(), corpus)
 
 
+def test_verification_carries_the_result(docs, corpus):
+    """A hash of few bits finds pairs that aren't near, and none of them becomes a link."""
+    check(minhash.link(docs, bits=16).collect(), corpus)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_whose_polynomial_hashes_are_equal(spark, n):
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([w, "x", w + "c", "y"] * 2 + [f"z{j}" for j in range(2)])) for i, w in enumerate([word, other])]
+    got = minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check(got, rows)
+    assert all(r.kept for r in got)
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i}" for i in range(60_000)]
+    rows = [(3, " ".join(long)), (1, " ".join(long[:50_000])), (2, " ".join(long[:20_000])), (4, "x" * 2_000_000), (5, "X" * 2_000_000)]
+    check(minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+
+
 def test_empty(empty):
     assert minhash.link(empty).collect() == []
 
 
-def test_a_large_group_of_near_copies(spark, monkeypatch):
-    """Copies at any distance from one text, some alone: in blocks and cells smaller than the group."""
+def small_cells(monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 16)
     monkeypatch.setattr(minhash, "CELL", 8)
+
+
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Copies at any distance from one text, some alone: in blocks and cells smaller than the group."""
+    small_cells(monkeypatch)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -71,11 +98,37 @@ def test_a_large_group_of_near_copies(spark, monkeypatch):
     assert 2 < len({r.component_id for r in got}) < 100
 
 
+def test_a_bucket_of_many_distant_documents(spark):
+    """3,000 documents that share much and are near to none: what a cell sends on grows with its members, not with pairs."""
+    rng = random.Random(2)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, " ".join([*common, *(f"x{rng.randrange(10**9)}" for _ in range(16))])) for i in range(3000)]
+    got = minhash.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got) and len(got) == 3000
+
+
 def test_an_id_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
-    rows = spark.createDataFrame([(1, a), (1, b + " more"), (2, b + " more"), (3, a), (4, c)], "doc_id long, text string")
-    got = {(r.doc_id, r.component_id) for r in minhash.link(rows).collect()}
-    assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+    rows = [(1, a), (1, b), (2, b + " more"), (3, a), (4, c), (4, c), (5, b + " less"), (5, c), (5, None), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    check(minhash.link(docs).collect(), rows)
+    got = Counter(map(tuple, minhash.firsts(docs).collect()))
+    assert got == Counter([(1, a), (1, b), (4, c), (5, None), (6, "")])
+
+
+def test_one_row_of_each_class(docs, clashing, empty, corpus):
+    groups = brute(corpus)
+    for d in (docs, clashing):
+        got = minhash.firsts(d)
+        assert got.columns == d.columns
+        got = [tuple(r)[:2] for r in got.collect()]
+        want = Counter(r[:2] for r, (n, c) in zip(corpus, groups, strict=True) if c is None or not n)
+        rest = Counter(got)
+        rest.subtract(want)
+        assert all(n in (0, 1) for n in rest.values())
+        kept = Counter(dict(zip([r[:2] for r in corpus], groups, strict=True))[r][1] for r, n in rest.items() if n)
+        assert kept == Counter({c: 1 for n, c in groups if n and c is not None})
+    assert minhash.firsts(empty).collect() == []
 
 
 def test_minima():
@@ -93,10 +146,11 @@ def test_minima():
 
 def test_sets_are_the_same_in_any_batch():
     texts = ["A b c d e f", None, "", "x", "a B c d e f", "a b c d e"]
-    _, _, h, first = next(minhash.distinct_sets(pa.array(texts), 5))
+    _, _, h, g, first = next(minhash.distinct_sets(pa.array(texts), 5))
     assert np.diff(first).tolist() == [2, 0, 0, 1, 2, 1]
     assert h[first[0] : first[1]].tolist() == h[first[4] : first[5]].tolist()
-    assert (minhash.prints(h, first)[:, 0] == minhash.prints(h, first)[:, 4]).all()
+    assert (minhash.prints(h, g, first)[:, 0] == minhash.prints(h, g, first)[:, 4]).all()
+    assert [len(minhash.shingle_set(t or "")) for t in texts] == [2, 0, 0, 1, 2, 1]
 
 
 def test_components(spark):

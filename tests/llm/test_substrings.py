@@ -23,15 +23,44 @@ def brute(texts, k):
     return out
 
 
-@pytest.mark.parametrize("k, chunk", [(35, substrings.CHUNK), (35, 200), (4, 300)])
-def test_equals_brute_force(docs, corpus, k, chunk, monkeypatch):
+def digests(rows, k):
+    return sorted(((r[0], len(all_), len(all_) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for r, (kept, all_) in zip(rows, brute([r[1] for r in rows], k), strict=True)), key=repr)
+
+
+@pytest.mark.parametrize("k, chunk, bits", [(35, substrings.CHUNK, 64), (35, 200, 64), (4, 300, 64), (35, 300, 12), (4, 300, 16)])
+def test_equals_brute_force(docs, corpus, k, chunk, bits, monkeypatch):
+    """With a hash of few bits, which finds windows that don't repeat, the verification alone keeps the result right."""
     monkeypatch.setattr(substrings, "CHUNK", chunk)
-    want = sorted(((r[0], len(all_), len(all_) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for r, (kept, all_) in zip(corpus, brute([r[1] for r in corpus], k), strict=True)), key=repr)
-    got = sorted(map(tuple, substrings.dedup(docs.repartition(3), k, digest=True).collect()), key=repr)
+    want = digests(corpus, k)
+    got = sorted(map(tuple, substrings.dedup(docs.repartition(3), k, digest=True, bits=bits).collect()), key=repr)
     assert got == want
     assert any(r[2] for r in want)
 
 
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:n]
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_whose_polynomial_hashes_are_equal(spark, n):
+    """Thue-Morse words and their complements collide under every polynomial hash modulo 2**64."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(i, " ".join([*(f"{i}x{j}" for j in range(9)), *[f"w{j}" for j in range(17)], w, *[f"v{j}" for j in range(17)]])) for i, w in enumerate([word, other])]
+    got = sorted(map(tuple, substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()))
+    assert got == digests(rows, 35) and not any(r[2] for r in got)
+
+
+def test_very_long_texts_and_repeated_ids(spark):
+    long = " ".join(f"w{i % 70_001}" for i in range(150_000))
+    rows = [(1, long), (1, "short"), (2, "x" * 3_000_000), (2, " ".join(["y"] * 40)), (None, long[:4000]), (None, None)]
+    got = sorted(map(tuple, substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()), key=repr)
+    assert got == digests(rows, 35)
+
+
 def test_texts(docs, clashing, empty, corpus):
     brute_ = brute([r[1] for r in corpus], 35)
     want = Counter((r[0], r[1] if len(kept) == len(all_) else b" ".join(kept).decode()) for r, (kept, all_) in zip(corpus, brute_, strict=True))

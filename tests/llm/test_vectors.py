@@ -95,23 +95,25 @@ def test_no_rows(spark):
 
 
 def brute_top(rows, every, k, scale=256):
-    known = {}
-    for r in rows:
-        if r[0] is not None and usable(r[1]):
-            v = tuple(int(np.floor(scale * float(x))) for x in r[1])
-            known[r[0]] = v
+    """By rows: each query row against every other row."""
+    known = [(r[0], tuple(int(np.floor(scale * float(x))) for x in r[1])) for r in rows if r[0] is not None and usable(r[1])]
     out = []
-    for q in known:
+    for i, (q, a) in enumerate(known):
         if q % every == 0:
-            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(known[q], known[c], strict=True)))), c) for c in known if c != q and len(known[c]) == len(known[q]))
-            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(scored[:k])]
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(x * y for x, y in zip(a, b, strict=True)))), c) for j, (c, b) in enumerate(known) if i != j and len(a) == len(b))
+            out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scored[:k])]
     return sorted(out)
 
 
 @pytest.mark.parametrize("block, lists", [(topk.BLOCK, 4), (32, 4), (7, 5), (50, 1)])
-def test_top_k(spark, block, lists):
+def test_top_k(spark, block, lists, monkeypatch):
+    if block < 100:
+        monkeypatch.setattr(topk, "STEP", (3, 10))
+        monkeypatch.setattr(topk, "BLOCK_BYTES", block * 8 * 12)
     rows = vectors()
-    got = topk.search(spark.createDataFrame(rows, KIND), "id % 10 = 0", block=block, query_block=8, lists=lists)
+    rows += [(7, rows[30][1], 0), (20, rows[31][1], 0), (20, rows[31][1], 0)]  # other vectors, and the same one, under one id
+    docs = spark.createDataFrame(rows, KIND).selectExpr("*", "1 as id", "2 as dim", "3 as place", "4 as block", "5 as rank")
+    got = topk.search(docs, "id % 10 = 0", block=block, query_block=8, lists=lists)
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 10, 5)
     assert got.dtypes == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "bigint")]
 
@@ -122,3 +124,13 @@ def test_top_k_of_huge_and_tied_numbers(spark):
     assert sorted(map(tuple, got.collect())) == brute_top(rows, 4, 5)
     few = [(i, [1.0, float(i)], 0) for i in range(3)]
     assert sorted(map(tuple, topk.search(spark.createDataFrame(few, KIND), "id = 0").collect())) == brute_top(few, 3, 5)
+
+
+def test_top_k_sql_counts_rows(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(50, [0.5, 0.5]), (7, [0.5, 0.25]), (7, [0.25, 0.5]), (50, [1.0, 0.0]), (8, None), (9, [])]
+    embeddings = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})  # noqa: F841  read by name
+    want = sorted(duckdb.sql(topk.ORACLE).fetchall())
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "id % 50 = 0")
+    assert sorted(map(tuple, got.collect())) == want == brute_top(rows, 50, 5)
+    assert len(want) == 6
