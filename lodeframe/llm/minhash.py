@@ -385,3 +385,24 @@ def firsts(docs: DataFrame, **options) -> DataFrame:
     kept = rows.join(single, keys).select("row").union(rows.join(several, keys).dropDuplicates(keys).select("row"))
     alone = docs.filter(F.col("doc_id").isNull() | ~F.coalesce(text.rlike(WORDY), F.lit(False)))
     return kept.select("row.*").union(alone)
+
+
+ORACLE = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS place, doc_id, coalesce(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT place, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+                                     WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+size AS (SELECT place, count(*) AS n FROM shingle GROUP BY place),
+known AS (SELECT h.place, h.s FROM shingle h JOIN split USING (place) WHERE doc_id IS NOT NULL),
+shared AS (SELECT a.place AS a, b.place AS b, count(*) AS n FROM known a JOIN known b ON a.s = b.s AND a.place <> b.place GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM shared JOIN size x ON x.place = a JOIN size y ON y.place = b WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+reached AS (
+  SELECT place, place AS other FROM split UNION
+  SELECT r.place, l.b FROM reached r JOIN links l ON l.a = r.other),
+least AS (SELECT r.place, min(u.doc_id) AS component_id FROM reached r JOIN split u ON u.place = r.other GROUP BY r.place)
+SELECT u.doc_id, coalesce(x.n, 0)::BIGINT AS n_shingles, l.component_id, coalesce(u.doc_id = l.component_id, true) AS kept
+FROM split u JOIN least l USING (place) LEFT JOIN size x USING (place)
+"""

@@ -70,4 +70,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.ORACLE, "op2_substring_dedup": substrings.ORACLE, "op4_exact_topk": topk.ORACLE}
+    return {
+        "op1_mix_sources": mixing.ORACLE,
+        "op2_substring_dedup": substrings.ORACLE,
+        "op4_exact_topk": topk.ORACLE,
+        "op9_embedding_neardup": neardup_vectors.ORACLE,
+        "op10_minhash_neardup": minhash.ORACLE,
+    }

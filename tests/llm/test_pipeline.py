@@ -1,4 +1,6 @@
+import shutil
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -40,8 +42,9 @@ def test_each_stage_by_a_plain_version(spark, docs, corpus):
     assert kept.columns == docs.columns
     assert rows_of(kept) == rows_of(toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns))
 
-    groups = near_groups({(r[0], r[1]) for r in corpus if r[0] is not None})
-    want = Counter({tuple(r): 1 for r in corpus if r[0] is not None and groups[r[0]][1] == r[0]}) + Counter(tuple(r) for r in corpus if r[0] is None)
+    groups = near_groups(corpus)
+    want = Counter({tuple(r): 1 for r, (n, c) in zip(corpus, groups, strict=True) if n and c is not None and c == r[0]})
+    want += Counter(tuple(r) for r, (n, c) in zip(corpus, groups, strict=True) if c is None or not n)
     base = docs.filter("doc_id is null or doc_id <> 100")
     near = STAGE["minhash"](spark, base, SF)
     assert near.columns == docs.columns and rows_of(near) == want
@@ -68,6 +71,38 @@ def test_empty_and_clashing(spark, empty, clashing):
             assert f(spark, clashing, SF).columns == clashing.columns, name
 
 
+def test_no_row_is_lost_for_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 2), (2, b + " more", "en", "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows_of(STAGE["minhash"](spark, docs, SF)) == Counter(rows[:2])
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, long, "en", "s", len(long)), (2, long + " x", "en", "t", len(long) + 2), (3, "y" * 300_000, "en", None, 300_000), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert rows_of(STAGE["toxicity"](spark, docs, SF)) == Counter(rows)
+    assert rows_of(STAGE["minhash"](spark, docs, SF)) == Counter([rows[0], *rows[2:]])
+    assert rows_of(STAGE["substrings"](spark, docs, SF)) == Counter([(2, "x", "en", "t", 1), *rows[2:]])
+    kept = STAGE["mixing"](spark, docs, SF).collect()
+    assert {r.text for r in kept} <= {r[1] for r in rows}
+    pieces = STAGE["packing"](spark, docs, SF).collect()
+    assert sum(r.length for r in pieces if r.doc_id == 4) == 1 and max(r.length for r in pieces) == 2048
+
+
+def shared_tables(spark):
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:")
+    return {p.name.rsplit("-", 1)[0] for p in Path(where).glob("lodeframe-*")}
+
+
+def test_tables_between_are_dropped(spark):
+    for p in Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file:")).glob("lodeframe-*"):
+        shutil.rmtree(p)
+    corpus_pipeline.run(spark, SF).count()
+    assert shared_tables(spark) == {"lodeframe-stage-mixing"}
+
+
 def test_run_is_its_stages(spark, plain):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, f in corpus_pipeline.STAGES[:-1]:

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -25,38 +27,79 @@ def usable(v):
 
 
 def brute_links(rows):
-    known = {r[0]: np.array(r[1], dtype=float) for r in rows if r[0] is not None and usable(r[1]) and np.any(np.array(r[1]) != 0)}
-    ids = sorted(known)
-    links, label = dict.fromkeys(ids, 0), {i: i for i in ids}
+    """By rows: (links, component)."""
+    known = [np.array(r[1], dtype=float) if r[0] is not None and usable(r[1]) and np.any(np.array(r[1]) != 0) else None for r in rows]
+    links, label = [0] * len(rows), list(range(len(rows)))
 
     def find(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i in ids:
-        for j in ids:
-            a, b = known[i], known[j]
-            if i < j and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9:
+    for i, a in enumerate(known):
+        for j, b in enumerate(known[:i]):
+            if a is not None and b is not None and len(a) == len(b) and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.9:
                 links[i] += 1
                 links[j] += 1
                 p, q = find(i), find(j)
                 label[max(p, q)] = min(p, q)
-    return {i: (links[i], find(i)) for i in ids}
+    least = {}
+    for i, r in enumerate(rows):
+        if r[0] is not None:
+            least[find(i)] = min(least.get(find(i), r[0]), r[0])
+    return [(n, least.get(find(i))) for i, n in enumerate(links)]
+
+
+def check_links(got, rows, recall=1.0):
+    want = brute_links(rows)
+    assert len(got) == len(rows)
+    if recall == 1.0:
+        assert Counter(map(tuple, got)) == Counter((r[0], n, c, c is None or c == r[0]) for r, (n, c) in zip(rows, want, strict=True))
+    assert sum(r.n_links for r in got) >= recall * sum(n for n, _ in want)
 
 
 @pytest.mark.parametrize("block", [neardup_vectors.BLOCK, 16])
 def test_links(spark, block):
     rows = vectors()
-    got = neardup_vectors.link(spark.createDataFrame(rows, KIND), block=block).collect()
-    want = brute_links(rows)
-    assert len(got) == len(rows)
-    assert max(n for n, _ in want.values()) > 40
-    for r in got:
-        n, c = want.get(r.vec_id, (0, r.vec_id))
-        assert r.n_links <= n and (r.component_id, r.kept) == (c, c == r.vec_id)
-    found = {r.vec_id: r.n_links for r in got}  # an index in few dimensions may miss a pair
-    assert sum(found[i] for i in want) >= 0.99 * sum(n for n, _ in want.values())
+    rows += [(3, rows[150][1], 0), (3, rows[2][1], 0), (200, rows[200][1], 0)]  # other vectors, and the same one, under one id
+    docs = spark.createDataFrame(rows, KIND).selectExpr("*", "1 as id", "2 as dim", "3 as node", "4 as copies", "5 as kept")
+    got = neardup_vectors.link(docs, block=block).collect()
+    assert max(r.n_links for r in got) > 40
+    check_links(got, rows)
+
+
+def test_links_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = [r for r in vectors() if r[0] is None or r[0] < 3000]
+    embeddings = pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))})  # noqa: F841  read by name
+    got = Counter(duckdb.sql(neardup_vectors.ORACLE).fetchall())
+    assert got == Counter((r[0], n, c, c is None or c == r[0]) for r, (n, c) in zip(rows, brute_links(rows), strict=True))
+
+
+@pytest.mark.parametrize("kind", ["alone", "pairs", "groups"])
+def test_the_count_of_shared_pivots_prunes(kind):
+    """Of the pairs that meet in a list, few are left to verify beyond the true links, which are all found."""
+    rng = np.random.default_rng(5)
+    n, dim = 6000, 64
+    x = rng.normal(size=(n, dim))
+    if kind == "pairs":
+        x[n // 2 :] = x[: n // 2] + 0.45 * rng.normal(size=(n // 2, dim))  # cosines around 0.9
+    if kind == "groups":
+        x = x[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    count = neardup_vectors.pivot_count(n, dim)
+    pivots = neardup_vectors.apart(x[rng.permutation(n)[: 4 * count]], count)
+    prefix, lists, shared = neardup_vectors.setting(len(pivots))
+    p = neardup_vectors.prefixes(x, pivots, prefix)
+    tally, links = [], 0
+    for pivot in range(p.max() + 1):
+        at = np.flatnonzero((p[:, :lists] == pivot).any(1))
+        i, _ = neardup_vectors.cell_links(pivot, (x[at], p[at]), None, 0.9, lists, shared, tally)
+        links += len(i)
+    want = (np.concatenate([(x[s : s + 1000] @ x.T >= 0.9).sum(1) for s in range(0, n, 1000)]).sum() - n) // 2
+    met, candidates = sum(tally[::2]), sum(tally[1::2])
+    assert links <= want and links >= 0.99 * want
+    assert candidates - links < 0.1 * (met - links)
 
 
 def test_recall_in_many_dimensions(spark):
@@ -66,8 +109,8 @@ def test_recall_in_many_dimensions(spark):
     rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
     got = {r.vec_id: r.n_links for r in neardup_vectors.link(spark.createDataFrame(rows, "vec_id int, embedding array<double>, label int")).collect()}
     want = brute_links(rows)
-    assert all(got[i] <= n for i, (n, _) in want.items())
-    assert sum(got.values()) >= 0.99 * sum(n for n, _ in want.values()) > 500
+    assert all(got[i] <= n for i, (n, _) in enumerate(want))
+    assert sum(got.values()) >= 0.99 * sum(n for n, _ in want) > 500
 
 
 @pytest.mark.parametrize("spread", [0.1, 0.295])  # cosines of the group's pairs around 0.99 and 0.92
