@@ -11,31 +11,34 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import minhash, mixing, packing, substrings, toxicity
 from lodeframe.llm.registry import fold, table
-from lodeframe.llm.tables import written
+from lodeframe.llm.tables import scratch, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model, learnt from the training fold of labels, doesn't reject."""
+    """Documents that the toxicity model, learnt from the training fold of labels, doesn't reject.
+
+    A null text scores as an empty one, a text of any length as a whole; repeated rows and null ids are rows like any other. Without
+    labels nothing is rejected.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), learn=fold("id", 4) != 2)
     return toxicity.score(docs, model, result="_score", predicted="_toxic").filter("_toxic = 0").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of least id.
+    """One document of each group of near duplicates: the one of least id, and of equal ids one of them.
 
-    Rows that repeat an id are one document of the group: the one of greatest text stays. Rows
-    with a null id are in no group and stay.
+    Rows are near by their own texts, so rows that repeat an id with unrelated texts all stay. Rows with a null id and those
+    without words are in no group and stay. Columns may have any names.
     """
-    kept = minhash.link(docs.select("doc_id", "text")).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept")).drop("_kept")
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        columns = F.struct("text", *[c for c in docs.columns if c != "text"])
-        named = named.groupBy("doc_id").agg(F.max(columns).alias("r")).select(*[F.col("r")[c].alias(c) for c in docs.columns])
-    return named.select(*docs.columns).union(docs.filter("doc_id is null"))
+    return minhash.firsts(docs)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the word windows that occur elsewhere too; those left without words go. n_chars follows the text."""
+    """Documents without the word windows that occur elsewhere too; those left without words go. n_chars follows the text.
+
+    Null and empty texts stay as they are. Repeated rows are documents of their own: if longer than a window, they go. Columns
+    may have any names.
+    """
     plain = [f"c{i}" for i in range(len(docs.columns))]  # columns of docs may have names of the operator's results
     at = {c: p for c, p in zip(docs.columns, plain, strict=True)}
     names = [{"doc_id": "doc_id", "text": "text"}.get(c, p) for c, p in at.items()]
@@ -47,12 +50,16 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Null and empty texts weigh nothing and come as often as others of their source; a null source is a source; null ids and repeated
+    rows are rows like any other. Columns may have any names.
+    """
     return mixing.mix(docs).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in token windows."""
+    """Pieces of documents in token windows; a null or empty text is its closing id alone, an empty table gives no piece."""
     return packing.pack(docs)
 
 
@@ -68,7 +75,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage over the table before it, which stays for as long as it is read; all others are dropped."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    with scratch(spark):
+        for name, stage in STAGES[:-2]:
+            with scratch(spark):
+                docs = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        name, stage = STAGES[-2]
+        with scratch(spark):
+            docs = stage(spark, docs, sf_dir)
+        docs = written(docs, f"stage-{name}", keep=True)
     return STAGES[-1][1](spark, docs, sf_dir)
