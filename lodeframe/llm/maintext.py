@@ -1,19 +1,19 @@
 """Main text of web pages: line-block distribution.
 
 The page's markup is stripped into lines, one for each block of text, leaving out elements
-that never hold the article (by element, role, or a name in class or id). A name counts if
-it says nothing else ('share', 'share-buttons', but not 'elementor-widget'); on headings no
-name does, on sections and inline elements no id, as ids are made from headings' words, and
-inside an article only ids of two such words or more. The text
-lengths of the lines, links not counted, are summed over sliding windows of `WINDOW` lines.
-A region starts where the sums surge to the threshold and ends where they dive below
-it; the region of most text is the core. If the core lies in an element that marks an
-article, all lines of the outermost such element are kept; else the lines between surge and dive, and
-beyond them those next lines that share their parent element with a line of the core.
+that by definition never hold the article (navigation, footers, forms, scripts) and blocks whose class or id says nothing
+else than that ('share', 'share-buttons', but not 'elementor-widget' or 'market-share'; on headings no
+name counts, on sections and inline elements no id, as ids are made from headings' words, and
+inside an article only ids of two such words or more). Each line has a weight: its length without links, and `LINE` for being a line, so
+that a short paragraph among others is text too. Markup weighs in by two factors: where paragraphs, headings and the like hold a third
+of the page's text, lines of bare blocks count an eighth; where elements that mark an article do, lines outside them count a twentieth.
+
+The weights are summed over sliding windows of `WINDOW` lines. A region starts where the sums surge to a threshold and ends where
+they dive below it, less the light lines at its edges that only a heavy neighbour lifted. The region of most weight is the main text, whole.
 
 Defined cases: a null or empty page, or one without text, gives ''; markup may be cut off or
-left open anywhere; a page is one row's work whatever its length; repeated rows and null
-ids are rows like any other; further columns of the input are left out.
+left open anywhere; a page is one row's work whatever its length; of equal regions the first counts; repeated rows and null
+ids are rows like any other; an empty table gives no row; further columns of the input, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: share of the highest window sum that counts as a surge
-SURGE = 0.25
+#: weight of a line beside its length; the most weight of a line; sum of a window that counts as a surge; weight of a line that may stand at an edge
+LINE, HEAVY, SURGE, EDGE = 30, 200, 60, 25
+#: factors of lines of bare blocks, and of lines outside marked articles; each where the other lines hold at least that share of the text
+BARE, OUTSIDE, MARKED = 0.12, 0.05, 1 / 3
 
-RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "math", "object")
-NEVER = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "datalist", "fieldset", "label", "audio", "video", "canvas", "map", "head"}
+RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes", "svg", "object")
+NEVER = {"nav", "aside", "footer", "form", "button", "select", "menu", "dialog", "datalist", "label", "audio", "video", "canvas", "map", "head"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "link", "mark", "meta", "meter", "nobr", "output", "progress", "q", "rb", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "alertdialog", "dialog", "menu", "menubar", "toolbar", "note", "tablist"}
-LEAVES = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: elements whose lines are text, and those of them that aren't parents of others
+LEAVES = {"p", "pre", "blockquote", "li", "dd", "dt", "td", "th", "figcaption", "caption", "h1", "h2", "h3", "h4", "h5", "h6"}
+PARTS = {"p", "pre", "h1", "h2", "h3", "h4", "h5", "h6"}
 ARTICLE, MAIN = {"article"}, {"main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: words of class or id
@@ -92,16 +96,17 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
     return kind
 
 
-def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
-    """Texts of the page's blocks, their lengths without links, and the numbers of their outermost article (0: none) and of their parent."""
+def lines_of(page: str) -> tuple[list[str], list[int], list[bool], list[bool]]:
+    """Texts of the page's blocks, their lengths without links, whether they are in an article, and whether bare (in no paragraph or the like)."""
     texts: list[str] = []
     sizes: list[int] = []
-    articles: list[int] = []
-    parents: list[int] = []
+    articles: list[bool] = []
+    bare: list[bool] = []
     open_: list[tuple[str, int, str]] = []  # block elements: name, number, kind
     marked: list[int] = []  # numbers of open article elements
     buffer: list[str] = []
     linked, in_link, number = 0, 0, 0
+    block = ""  # the element that began last
     away, depth = "", 0  # the element that is being left out, and how often it is open
     away_comments = False
 
@@ -113,8 +118,8 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
             if text:
                 texts.append(text)
                 sizes.append(max(0, len(text) - linked))
-                articles.append(marked[0] if marked else 0)
-                parents.append(open_[-1][1] if open_ else 0)
+                articles.append(bool(marked))
+                bare.append(block not in LEAVES)
             linked = 0
 
     at, end = 0, len(page)
@@ -161,6 +166,7 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
         if tag in VOID:
             continue
         if closing:
+            block = "" if tag not in PARTS else block
             for i in range(len(open_) - 1, -1, -1):
                 if open_[i][0] == tag:
                     for _, n, k in open_[i:]:
@@ -179,34 +185,45 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int], list[int]]:
                 _, ended, _ = open_.pop()
                 if marked and marked[-1] == ended:
                     marked.pop()
-        if tag not in LEAVES:  # paragraphs and headings of one parent are alike
+        block = tag
+        if tag not in PARTS:
             number += 1
             open_.append((tag, number, kind))
             if kind == "article" or kind == "main" and not marked:
                 marked.append(number)
     flush()
-    return texts, sizes, articles, parents
+    return texts, sizes, articles, bare
+
 
+def weights(sizes: list[int], articles: list[bool], bare: list[bool]) -> np.ndarray:
+    """A line's length without links, and LINE, by the factors of its markup; a line of links alone weighs nothing, in an article EDGE."""
+    x, inside, plain = np.asarray(sizes, dtype=np.float64), np.asarray(articles, dtype=bool), ~np.asarray(bare, dtype=bool)
+    factor = np.ones(len(x))
+    for part, other in ((plain, BARE), (inside, OUTSIDE)):
+        if part.any() and x[part].sum() >= MARKED * x.sum():
+            factor[~part] *= other
+            factor[inside] = 1.0
+    return np.where(x > 0, np.minimum(x + LINE, HEAVY) * factor, np.where(inside, EDGE, 0.0))
 
-def core(sizes: list[int], window: int = WINDOW, surge: float = SURGE) -> tuple[int, int]:
-    """[start, end) of the region of most text between a surge and a dive of the window sums."""
-    x = np.asarray(sizes, dtype=np.int64)
+
+def core(x: np.ndarray, window: int = WINDOW, surge: float = SURGE, edge: float = EDGE) -> tuple[int, int]:
+    """[start, end) of the region of most weight between a surge and a dive of the window sums."""
+    x = np.asarray(x, dtype=np.float64)
     if not len(x):
         return 0, 0
-    sums = np.convolve(x, np.ones(window, dtype=np.int64))[window - 1 :]  # lines i to i + window - 1
+    sums = np.convolve(x, np.ones(window))[window - 1 :]  # lines i to i + window - 1
     if not sums.max():
         return 0, len(x)
-    high = np.concatenate(([0], (sums >= max(1, surge * sums.max())).astype(np.int8), [0]))
+    high = np.concatenate(([0], (sums >= min(surge, sums.max())).astype(np.int8), [0]))
     starts, ends = np.flatnonzero(np.diff(high) > 0), np.flatnonzero(np.diff(high) < 0)
-    ends = np.minimum(ends + window - 1, len(x))
+    ends = np.minimum(ends + window - 1, len(x))  # a window may start before its text, and end after it
     total = np.concatenate(([0], np.cumsum(x)))
-    mass = total[ends] - total[starts]
-    best = int(np.argmax(mass))
+    best = int(np.argmax(total[ends] - total[starts]))
     a, b = int(starts[best]), int(ends[best])
-    edge = surge * sums.max() / window  # a window may start before its text, and end after it
-    while a < b - 1 and x[a] < edge:
+    edge = min(edge, x[a:b].max())
+    while x[a] < edge:
         a += 1
-    while b > a + 1 and x[b - 1] < edge:
+    while x[b - 1] < edge:
         b -= 1
     return a, b
 
@@ -215,19 +232,8 @@ def extract(page: str | None, window: int = WINDOW, surge: float = SURGE) -> str
     """The main text of a page, a line for each block."""
     if not page:
         return ""
-    texts, sizes, articles, parents = lines_of(page)
-    if not texts:
-        return ""
-    a, b = core(sizes, window, surge)
-    fullest = max(range(a, b), key=sizes.__getitem__)
-    if articles[fullest]:
-        inside = articles[fullest]
-        return "\n".join(t for t, n in zip(texts, articles, strict=True) if n == inside)
-    own = {parents[i] for i in range(a, b) if sizes[i]}
-    while a and parents[a - 1] in own:
-        a -= 1
-    while b < len(texts) and parents[b] in own:
-        b += 1
+    texts, sizes, articles, bare = lines_of(page)
+    a, b = core(weights(sizes, articles, bare), window, surge)
     return "\n".join(texts[a:b])
 
 

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from lodeframe.llm import maintext
 from lodeframe.llm.maintext import core, extract, main_text
 
 LONG = "A paragraph with words enough that it counts as text of the page. "
@@ -56,6 +57,54 @@ def test_the_outermost_article_is_kept():
 def test_regions():
     assert core([5, 5, 80, 90, 2, 70, 3, 3, 3, 3, 60]) == (2, 6)
     assert core([]) == (0, 0) and core([0, 0]) == (0, 2) and core([4]) == (0, 1)
+    assert core([90, 0, 0, 0, 90]) == (0, 1)  # the first of equals
+
+
+def plain_region(x, window=3, surge=60, edge=25):
+    """The region line by line: windows that reach the surge, joined where they follow one another."""
+    sums = [sum(x[i : i + window]) for i in range(len(x))]
+    if not x or not max(sums):
+        return 0, len(x)
+    surge, regions, start = min(surge, max(sums)), [], None
+    for i in range(len(x) + 1):
+        high = i < len(x) and sums[i] >= surge
+        if high and start is None:
+            start = i
+        elif not high and start is not None:
+            regions.append((start, min(len(x), i - 1 + window)))
+            start = None
+    a, b = max(regions, key=lambda r: (sum(x[r[0] : r[1]]), -r[0]))
+    keep = [i for i in range(a, b) if x[i] >= min(edge, max(x[a:b]))]
+    return keep[0], keep[-1] + 1
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 10, 24, 25, 30, 59, 60, 200]), max_size=25))
+def test_regions_equal_a_plain_version(x):
+    assert core(x) == plain_region(x)
+
+
+@pytest.mark.parametrize("block", ["<section id='discussion'><p>%s</p></section>", "<p class='market-share'>%s</p>", "<p><math><mi>%s</mi></math></p>", "<fieldset><p>%s</p></fieldset>"])
+def test_elements_of_an_article_stay(block):
+    page = AROUND % f"<article><p>{LONG}</p>{block % 'Some words.'}<p>{LONG}</p></article>"
+    assert extract(page) == f"{LONG.strip()}\nSome words.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_surge_and_dive_decide(spark, monkeypatch, marks):
+    """Without any class or id word, and without article elements too, the region alone gives the text of most pages."""
+    monkeypatch.setattr(maintext, "AWAY", set())
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = 0
+    for p in pages:
+        inside = re.search(r"<article>(.*)</article>", p, re.S)[1]
+        want = "\n".join(x for x in (" ".join(html.unescape(b).split()) for b in re.split(r"</?(?:p|h1|br|b)>", inside)) if x)
+        right += extract(p if marks else re.sub("<(/?)article>", r"<\1div>", p)) == want
+    assert right >= 0.95 * len(pages)
+
+
+def test_a_page_of_bare_lines():
+    assert extract(f"<body><div>Intro.</div><div>{LONG}<br>Short.<br>{LONG}</div><div>End.</div></body>") == f"Intro.\n{LONG.strip()}\nShort.\n{LONG.strip()}\nEnd."
 
 
 def test_without_marks_of_an_article_text_between_surge_and_dive_stays():
