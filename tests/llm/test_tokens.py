@@ -36,8 +36,11 @@ def test_special_strings(plain):
         assert tokens.tokens().ids(text).tolist() == ids(plain, text)
 
 
-@settings(max_examples=150, deadline=None)
-@given(ALPHABET, st.lists(st.tuples(st.integers(0, 80), st.integers(0, 9), ALPHABET.map(lambda s: s[:8])), max_size=6), st.integers(1, 12))
+EDITED = st.text(st.sampled_from(list("abst Z''  \n\t.,!1éè漢字🙂\xa0\u3000")), max_size=60)
+
+
+@settings(max_examples=600, deadline=None)
+@given(EDITED, st.lists(st.tuples(st.integers(0, 80), st.integers(0, 9), EDITED.map(lambda s: s[:8])), max_size=6), st.integers(1, 12))
 def test_edits(plain, text, edits, most):
     tree = tokens.TokenTree(text, tokens.tokens(), most)
     assert tree.total == len(ids(plain, text))
@@ -48,17 +51,64 @@ def test_edits(plain, text, edits, most):
         tree.edit(start, end, new)
         assert tree.text == text and tree.total == len(ids(plain, text))
         assert tree.chars[1] == len(text) and tree.sums[1] == sum(tree.sums[tree.size :])
+        assert tree.kept() == ([len(s) for s in tree.leaves], [len(ids(plain, s)) for s in tree.leaves])
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endof", "text|>", "<|endoftext|>", "a", " b", "'s"]), max_size=12), st.integers(0, 60), st.integers(0, 9), st.sampled_from(["", "text|>", "<|", "x"]))
+def test_edits_of_special_strings(plain, parts, start, n, new):
+    text = "".join(parts)
+    start = min(start, len(text))
+    tree = tokens.TokenTree(text, tokens.tokens(), 4)
+    tree.edit(start, min(start + n, len(text)), new)
+    assert tree.total == len(ids(plain, text[:start] + new + text[start + n :]))
 
 
-def test_an_edit_reads_little(plain):
+def long_texts():
     rng = random.Random(1)
-    text = " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(20_000))
+    yield " ".join("".join(rng.choice("abcde") for _ in range(rng.randrange(1, 9))) for _ in range(16_000))
+    yield "".join(chr(rng.randrange(0x4E00, 0x5200)) for _ in range(65_120))  # letters alone: one pre-token
+    yield "".join(rng.choice("，。、") if not rng.randrange(12) else chr(rng.randrange(0x4E00, 0x5200)) for _ in range(65_120))
+    yield "".join(rng.choice("abcdefgh") for _ in range(65_120))
+    yield "".join(rng.choice("0123456789") for _ in range(65_120))
+
+
+@pytest.mark.parametrize("text", list(long_texts()), ids=["words", "ideographs", "sentences", "letters", "digits"])
+def test_an_edit_reads_little(plain, text):
+    rng = random.Random(2)
     tree = tokens.TokenTree(text, tokens.tokens())
     before = tree.encoded
-    tree.edit(50_000, 50_010, "something new")
-    assert tree.encoded - before < 1500
-    text = text[:50_000] + "something new" + text[50_010:]
-    assert tree.total == len(ids(plain, text))
+    for i in range(80):
+        at = rng.randrange(len(text) - 20)
+        new = text[at + 5 : at + 12] if i % 2 else "x1"
+        tree.edit(at, at + 9, new)
+        text = text[:at] + new + text[at + 9 :]
+    assert tree.encoded - before <= 80 * 4 * tree.most
+    assert tree.text == text and tree.total == len(ids(plain, text))
+
+
+def test_kept_trees(spark, docs, empty, corpus, plain, tmp_path):
+    """Trees are kept as a table and updated from a list of edits, twice."""
+    tokens.trees(docs, most=40).write.parquet(str(tmp_path / "trees"))
+    texts = [r[1] or "" for r in corpus]
+    for turn in range(2):
+        kept = spark.read.parquet(str(tmp_path / "trees"))
+        assert sorted((r.text or "", r.n_tokens) for r in kept.collect()) == sorted((t, len(ids(plain, t))) for t in texts)
+        changes = [(i, nr, 3 * nr + turn, 3 * nr + 7, f"new {nr}'s") for i in (3, 8, 9, 12) for nr in range(5)]
+        out = tokens.updated(kept, spark.createDataFrame(changes, "doc_id long, nr int, start int, end int, new string"), most=40)
+        for n, r in enumerate(corpus):
+            for i, _, start, end, new in changes:
+                if r[0] == i:
+                    start = min(start, len(texts[n]))
+                    texts[n] = texts[n][:start] + new + texts[n][max(start, end) :]
+        rows = out.collect()
+        assert sorted((r.text or "", r.n_tokens) for r in rows) == sorted((t, len(ids(plain, t))) for t in texts)
+        assert {r.n_chars_reencoded > 0 for r in rows if r.doc_id in (3, 8, 9, 12)} == {True}
+        assert {r.n_chars_reencoded for r in rows if r.doc_id not in (3, 8, 9, 12)} == {0}
+        out.drop("n_chars_reencoded").write.parquet(str(tmp_path / "next"))
+        (tmp_path / "trees").rename(tmp_path / "old" if not turn else tmp_path / "older")
+        (tmp_path / "next").rename(tmp_path / "trees")
+    assert tokens.trees(empty).collect() == []
 
 
 def test_counts(docs, empty, clashing, corpus, plain, spark):
