@@ -38,7 +38,7 @@ SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 #: minima in a signature (the first of them make the bands), and how many of its bytes must agree
 SIGNATURE, AGREE = 256, 156
 #: members of a bucket in one block, and their shingles
-BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: partners of a pivot in one cell
 CELL = 512
 #: a text that has a word

@@ -9,6 +9,9 @@ table entry for each measure and pair: vectorised additions, no trees.
 
 Fitting reads a bounded sample: of each label, the `MOST` rows of least hash; only their measures
 reach the driver, at most 2 * MOST rows of `len(NAMES)` numbers. Scoring is one pass without shuffle.
+
+Defined cases: null and empty texts have zeros as measures; a text of any length is measured whole; repeated rows are scored alike;
+without labels or documents to learn from the score is 0.5 everywhere; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodeframe.llm import words as W
 
-MOST, BINS, PAIR_BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, THRESHOLD = 8000, 32, 8, 150, 6, 40, 0.15, 0.3
+MOST, BINS, PAIR_BINS, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, THRESHOLD = 8000, 32, 8, 80, 6, 40, 0.3, 0.3  # rounds, rate and pairs by cross-validation among rows that may be learnt from
 NAMES = (
     "log_words", "word_bytes", "letters", "digits", "symbols", "bars", "upper", "ended", "wordless", "distinct",
     "same_as_last", "distinct_pairs", "short", "long", "log_line_words", "distinct_lines", "log_lines", "mixed",

@@ -7,9 +7,12 @@ keeps coordinates without evidence at exactly zero, so a model is its non-zero
 weights: a few thousand numbers, at most 2**BITS, that are broadcast.
 
 Fitting reads a bounded sample: of each label, the `MOST` rows of least hash among the
-rows that may be learnt from; a label's rows weigh in by how many rows they stand for.
-Features are hashed where the texts are; one task runs the updates in the order of the hash, as the
-method is online. Scoring reads every text once, in any number of tasks.
+rows that may be learnt from, and of these, in that order, as many as have `MOST_BYTES` of features together; texts are
+taken whole. A label's rows weigh in by how many rows they stand for. Features are hashed where the texts are and written; one
+task runs the updates in the order of the hash, as the method is online. Scoring reads every text once, in any number of tasks.
+
+Defined cases: null and empty texts have no features, and score by the bias; a text of any length is scored whole; repeated rows are
+scored alike; without labels or documents to learn from the score is 0.5 everywhere; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -19,13 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeframe.llm import words as W
+from lodeframe.llm.tables import scratch, written
 
 BITS, MOST, EPOCHS, THRESHOLD = 22, 8000, 5, 0.3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
+#: bytes of hashed features that a label's rows may have in the sample
+MOST_BYTES = 256 << 20
+#: chosen by cross-validation among rows that may be learnt from
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 10.0, 1.0
 
 
 def features(raw: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +98,7 @@ def scores(column: pa.Array, table: np.ndarray, bias: float, bits: int = BITS) -
     return 1.0 / (1.0 + np.exp(-np.clip(out, -35, 35)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, most: int = MOST, bits: int = BITS, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, most: int = MOST, bits: int = BITS, most_bytes: int = MOST_BYTES, **options) -> Model:
     """Model of labels (doc_id, `label`) over docs (doc_id, text).
 
     Rows with a null id, null label or null text, and those where `learn` doesn't hold, are not
@@ -110,7 +117,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
     picked = parts[0]
     for p in parts[1:]:
         picked = picked.union(p)
-    weigh = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (float(y), n / min(n, most))])
     rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "id")  # at most `most` ids a label
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,19 +131,25 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("y").slice(a, b - a), x], ["id", "y", "x"])
 
     sample = rows.filter("text is not null").mapInArrow(hashed, "id string, y double, x binary")
-    sample = sample.withColumns({"c": F.element_at(weigh, F.col("y")), "o": order})
-
     def train(table: pa.Table) -> pa.Table:
         table = table.sort_by([("o", "ascending"), ("id", "ascending"), ("x", "descending")])
         ids = table.column("id").to_pylist()
-        keep = [i for i, v in enumerate(ids) if not i or v != ids[i - 1]]
-        table = table.take(keep)
+        table = table.take([i for i, v in enumerate(ids) if not i or v != ids[i - 1]])  # of an id with several texts one
         x = [np.frombuffer(v, dtype="<u4") for v in table.column("x").to_pylist()]
         y, c = table.column("y").to_numpy(), table.column("c").to_numpy()
         m = ftrl(x, (y > 0).astype(float), c / c.min(), bits, **options)
         return pa.table({"i": pa.array([-1, *m.index], pa.int64()), "w": pa.array([m.bias, *m.weight], pa.float64())})
 
-    got = sample.groupBy().applyInArrow(train, "i long, w double").toPandas()
+    with scratch(docs.sparkSession):
+        sample = written(sample.withColumn("o", order), "features")
+        # sizes of at most `most` rows a label
+        place = Window.partitionBy("y").orderBy("o", "id")
+        sizes = sample.groupBy("y", "o", "id").agg(F.max(F.length("x")).alias("size"))
+        sizes = sizes.withColumn("so_far", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("so_far", F.lit(0)) < most_bytes)
+        kept = sizes.select("id", F.lit(True).alias("kept"))
+        weight = {r["y"]: counts[r["y"]] / r["n"] for r in sizes.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        weigh = F.element_at(F.create_map(*[F.lit(x) for y, w in weight.items() for x in (float(y), float(w))]), F.col("y")) if weight else F.lit(1.0)
+        got = sample.join(F.broadcast(kept), "id").withColumn("c", weigh).groupBy().applyInArrow(train, "i long, w double").toPandas()
     if not len(got):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, bits)
     bias = got.loc[got.i < 0, "w"].iloc[0]

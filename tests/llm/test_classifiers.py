@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -91,6 +92,116 @@ def test_ftrl_keeps_few_weights():
     assert m.index[np.argmax(m.weight)] == 3 and len(m.index) < 200
 
 
+def plain_ftrl(x, y, c, epochs, alpha, beta, l1, l2):
+    """One coordinate at a time, in dictionaries."""
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def weight(f):
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= l1 else (math.copysign(l1, v) - v) / ((beta + math.sqrt(n.get(f, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, label, w in zip(x, y, c, strict=True):
+            bias = -bz / ((beta + math.sqrt(bn)) / alpha)
+            g = w * (1 / (1 + math.exp(-(bias + sum(weight(f) for f in row)))) - label)
+            old = {f: weight(f) for f in row}
+            for f in row:
+                sigma = (math.sqrt(n.get(f, 0.0) + g * g) - math.sqrt(n.get(f, 0.0))) / alpha
+                z[f] = z.get(f, 0.0) + g - sigma * old[f]
+                n[f] = n.get(f, 0.0) + g * g
+            sigma = (math.sqrt(bn + g * g) - math.sqrt(bn)) / alpha
+            bz += g - sigma * bias
+            bn += g * g
+    return {f: weight(f) for f in z if weight(f)}, -bz / ((beta + math.sqrt(bn)) / alpha)
+
+
+def test_ftrl_equals_a_plain_version():
+    rng = np.random.default_rng(3)
+    x = [np.unique(rng.integers(0, 60, 8)) for _ in range(300)]
+    y, c = np.array([float(3 in r) for r in x]), rng.uniform(1, 3, 300)
+    got = toxicity.ftrl(x, y, c, bits=6, epochs=3, alpha=0.7, beta=1.2, l1=2.0, l2=0.5)
+    weights, bias = plain_ftrl([r.tolist() for r in x], y, c, 3, 0.7, 1.2, 2.0, 0.5)
+    assert 0 < len(weights) < 60 and dict(zip(got.index.tolist(), got.weight.tolist(), strict=True)) == pytest.approx(weights)
+    assert got.bias == pytest.approx(bias)
+
+
+def test_scores_equal_a_plain_version(labelled):
+    """A query's scores are the sigmoid of the bias and the weights of a text's words, pairs and skip pairs, each once."""
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    for r in toxicity.score(docs, model).limit(60).collect():
+        raw, offsets = W.column_bytes(pa.array([r.text]))
+        found = {int(f) for f in toxicity.features(raw, offsets)[1]}
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found)))))
+
+
+def test_the_sample_is_bounded_in_bytes(labelled):
+    docs, labels = labelled
+    model = toxicity.fit(docs, labels, most_bytes=30_000)
+    got = toxicity.score(docs, model).join(labels, "doc_id").collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.9 * len(got)
+
+
+def plain_boost(x, y, c, bins, rounds, rate, leaves=3, l2=1.0, least=2.0):
+    """Cyclic boosting of each measure's lookup table, row by row and cut by cut."""
+    share = (c * y).sum() / c.sum()
+    base = math.log(share / (1 - share))
+    cuts = [sorted({sorted(col)[int(math.floor((len(col) - 1) * i / bins))] for i in range(1, bins)}) for col in x.T.tolist()]
+    tables = [[0.0] * (len(cut) + 1) for cut in cuts]
+    bins_of = [[sum(v >= t for t in cut) for v in col] for cut, col in zip(cuts, x.T.tolist(), strict=True)]
+    out = [base] * len(y)
+    for _ in range(rounds):
+        for f, table in enumerate(tables):
+            p = [1 / (1 + math.exp(-o)) for o in out]
+            g, h = [0.0] * len(table), [0.0] * len(table)
+            for b, yy, cc, pp in zip(bins_of[f], y, c, p, strict=True):
+                g[b] += cc * (yy - pp)
+                h[b] += cc * pp * (1 - pp)
+            parts = [(0, len(table))]
+            while len(parts) < leaves:
+                best = None
+                for a, b in parts:
+                    for k in range(a + 1, b):
+                        if sum(h[a:k]) >= least and sum(h[k:b]) >= least:
+                            gain = sum(g[a:k]) ** 2 / (sum(h[a:k]) + l2) + sum(g[k:b]) ** 2 / (sum(h[k:b]) + l2) - sum(g[a:b]) ** 2 / (sum(h[a:b]) + l2)
+                            if gain > 0 and (best is None or gain > best[0] + 1e-12):
+                                best = (gain, a, k, b)
+                if best is None:
+                    break
+                parts = [q for q in parts if q != (best[1], best[3])] + [(best[1], best[2]), (best[2], best[3])]
+            for a, b in parts:
+                for k in range(a, b):
+                    table[k] += rate * sum(g[a:b]) / (sum(h[a:b]) + l2)
+            step = {k: rate * sum(g[a:b]) / (sum(h[a:b]) + l2) for a, b in parts for k in range(a, b)}
+            out = [o + step[b] for o, b in zip(out, bins_of[f], strict=True)]
+    return out
+
+
+def test_boosting_equals_a_plain_version():
+    rng = np.random.default_rng(6)
+    x = rng.random((240, 3)).round(2)
+    y = (x[:, 0] + 0.5 * (x[:, 1] > 0.4) + 0.2 * rng.random(240) > 0.8).astype(float)
+    c = rng.uniform(1, 2, 240)
+    m = quality.boost(x, y, c, bins=8, rounds=6, rate=0.3, pairs=0)
+    assert m.raw_scores(x) == pytest.approx(plain_boost(x, y, c, 8, 6, 0.3))
+
+
+def test_pair_tables_are_added():
+    m = quality.Model(0.5, [np.array([1.0]), np.array([2.0])], [np.array([0.1, 0.2]), np.array([-0.1, 0.4])], [np.array([1.0]), np.array([2.0])], [(1, 0, np.array([[1.0, 2.0], [3.0, 4.0]]))])
+    x = np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 2.0], [9.0, 9.0]])
+    assert m.raw_scores(x) == pytest.approx([0.5 + 0.1 - 0.1 + 1, 0.5 + 0.2 - 0.1 + 2, 0.5 + 0.1 + 0.4 + 3, 0.5 + 0.2 + 0.4 + 4])
+
+
+@pytest.mark.parametrize("name", BOTH)
+def test_very_long_texts(spark, labelled, name):
+    module = BOTH[name]
+    long = "word other " * 200_000
+    docs = spark.createDataFrame([(1, long), (2, long + "rude1 " * 3), (3, "x" * 2_000_000)], "doc_id long, text string")
+    got = module.score(docs, module.fit(*labelled)).collect()
+    assert len(got) == 3 and all(0 <= r.score <= 1 for r in got) and got[0].text == long
+
+
 def test_trees():
     g, h = np.array([-4.0, -4, 3, 3, 9, 9]), np.ones(6) * 4
     t = quality.shallow(g, h)
