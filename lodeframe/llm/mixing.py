@@ -9,12 +9,13 @@ falling size, in steps of about 3 %, and by a hash of the id within a step.
 
 The running sum takes three levels, so that no source meets in one task: over the size
 steps of a source (some hundred rows), over the 256 parts of a step (by two hex digits of the
-id's md5), and over the rows of a part. The first two are over counts.
+md5 of the id, or of the text where the id is null), and over the rows of a part. The first two are over counts. Shares are computed
+over one row a source.
 
-Defined cases: a null text has size 0; a null source is a source of its own, last in
+Defined cases: a null or empty text has size 0; a text of any length is one document; a null source is a source of its own, last in
 order; null ids and repeated rows are rows like any other; rows that tie in all
 columns are interchangeable; an empty table gives an empty mix; a source without
-words has target 0 and none of its rows is taken.
+words has target 0 and none of its rows is taken; further columns, whatever their names, stay out of the plan and in the mix.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeframe.llm.tables import written
+from lodeframe.llm.tables import fits, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix-1"
@@ -58,12 +59,14 @@ def unit(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) -> DataFrame:
-    """Of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken; one row a document."""
+def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Of docs (doc_id, text, source): doc_id, source, size, source_size, target, copies, taken, and columns to carry; one row a document."""
     key = F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source")))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))  # null ids are many, so their texts part them
+    part = F.substring(F.md5(name.cast("binary")), 1, 2).alias("part")
+    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), part, *carry)
     rows = written(sized, "mix-sizes", keep=True)  # the texts are read once; what follows reads these narrow rows
-    rows = rows.withColumns({"source_key": key, "step": size_step(F.col("size")), "part": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)})
+    rows = rows.withColumns({"source_key": key, "step": size_step(F.col("size"))})
     cell = ["source_key", "step", "part"]
     counts = rows.groupBy(*cell).agg(F.count("*").alias("n"))
     so_far = lambda *by: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(F.desc("step"), "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -81,35 +84,43 @@ def plan(docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, seed=SEED) ->
         rows.withColumn("rank", rank)
         .join(starts, cell)
         .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *carry)
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed documents themselves: docs' rows and columns, each as often as the plan says.
 
-    Rows are matched with their plan by id, source and size; equal ones among
-    themselves by a running number.
+    Rows meet their plan by two hashes of all their columns. Rows that are alike in all columns are one row with all of their copies;
+    only such rows are brought together. Columns may be of any type but maps.
     """
-    p = plan(docs, **options).filter("copies > 0")
-    like = Window.partitionBy("_id", "_source", "_size").orderBy("_id")
-    null_safe = lambda c, kind: F.struct(F.col(c).cast(kind).alias("v"))  # noqa: E731  a struct of null equals itself
-    p = p.select(null_safe("doc_id", "string").alias("_id"), null_safe("source", "string").alias("_source"), F.col("size").alias("_size"), "copies")
-    p = p.withColumn("_nr", F.row_number().over(like.orderBy(F.desc("copies"))))
-    d = docs.select(F.struct("*").alias("_row")).select("_row", F.struct(F.col("_row.doc_id").cast("string").alias("v")).alias("_id"), F.struct(F.col("_row.source").cast("string").alias("v")).alias("_source"), F.coalesce(F.regexp_count("_row.text", F.lit(WORD)), F.lit(0)).cast("long").alias("_size"))
-    d = d.withColumn("_nr", F.row_number().over(like))
-    joined = d.join(p, ["_id", "_source", "_size", "_nr"])
-    return joined.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")
+    names = docs.columns
+    plain = [f"c{i}" for i in range(len(names))]
+    d = docs.toDF(*plain)
+    d = d.withColumns({"k1": F.xxhash64(*plain), "k2": F.xxhash64(F.lit(1), *plain)})
+    asked = d.select(*(F.col(plain[names.index(c)]).alias(c) for c in ("doc_id", "text", "source")), "k1", "k2")
+    keys = ["k1", "k2"]
+    p = plan(asked, carry=("k1", "k2"), **options).groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    p = written(p.filter("copies > 0"), "mix-copies", keep=True)
+    single, several = p.filter("rows = 1").drop("rows"), p.filter("rows > 1").drop("rows")
+    if not fits(p):
+        single = single.hint("shuffle_hash")
+    alike = d.join(several.select(*keys), keys, "left_semi").dropDuplicates(keys).join(several, keys)
+    rows = d.join(single, keys).select(*plain, "copies").union(alike.select(*plain, "copies"))
+    at_once = 4096  # of a row's copies, however many
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / at_once))))
+    rows = rows.withColumn("nr", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(at_once), F.col("copies") - at_once * F.col("block")))))
+    return rows.select(*plain).toDF(*names)
 
 
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '+' || source END AS source_key,
-         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 2) AS part
   FROM documents),
 stepped AS (
-  SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS step,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 2) AS part FROM sized),
+  SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 5, 0)) AS step FROM sized),
 per_source AS (SELECT source_key, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM stepped GROUP BY source_key),
 weighted AS (
   SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1] AS weight,

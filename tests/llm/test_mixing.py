@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from lodeframe.llm import mixing
@@ -88,3 +89,18 @@ def test_many_of_one_size(spark):
     rows = spark.range(2000).selectExpr("id as doc_id", "'a b c' as text", "if(id % 3 = 0, 'x', 'y') as source")
     got = mixing.plan(rows).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
     assert all(abs(r["sum(taken)"] - r["max(target)"]) <= 3 for r in got)
+
+
+def test_equals_sql(docs, corpus):
+    duckdb = pytest.importorskip("duckdb")
+    documents = pa.table({"doc_id": [r[0] for r in corpus], "text": [r[1] for r in corpus], "source": [r[3] for r in corpus]})  # noqa: F841  read by name
+    want = sorted(duckdb.sql(mixing.ORACLE).fetchall(), key=repr)
+    assert sorted(map(tuple, mixing.plan(docs).select("doc_id", "size", "source_size", "target", "taken").collect()), key=repr) == want
+
+
+def test_many_rows_that_are_alike(spark):
+    rows = [(1, "a b", "s", 5)] * 9000 + [(1, "a c", "s", 5)] * 3 + [(1, "a b", "s", 6)] + [(i, "d e f", "t", 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    plan, got = mixing.plan(docs).collect(), Counter(map(tuple, mixing.mix(docs).collect()))
+    assert sum(got.values()) == sum(r.copies for r in plan) > 9100
+    assert set(got) <= set(rows)
