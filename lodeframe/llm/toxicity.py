@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeframe.llm import words as W
@@ -142,13 +142,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column
 
     with scratch(docs.sparkSession):
         sample = written(sample.withColumn("o", order), "features")
-        # sizes of at most `most` rows a label
-        place = Window.partitionBy("y").orderBy("o", "id")
-        sizes = sample.groupBy("y", "o", "id").agg(F.max(F.length("x")).alias("size"))
-        sizes = sizes.withColumn("so_far", F.sum("size").over(place.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("so_far", F.lit(0)) < most_bytes)
-        kept = sizes.select("id", F.lit(True).alias("kept"))
-        weight = {r["y"]: counts[r["y"]] / r["n"] for r in sizes.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        weigh = F.element_at(F.create_map(*[F.lit(x) for y, w in weight.items() for x in (float(y), float(w))]), F.col("y")) if weight else F.lit(1.0)
+        sizes = sample.groupBy("y", "o", "id").agg(F.max(F.length("x")).alias("size")).collect()  # at most `most` rows a label
+        kept, so_far, weight = [], {}, {}
+        for r in sorted(sizes, key=lambda r: (r["o"], r["id"])):
+            if so_far.get(r["y"], 0) < most_bytes:
+                kept.append((r["id"],))
+                weight[r["y"]] = weight.get(r["y"], 0) + 1
+            so_far[r["y"]] = so_far.get(r["y"], 0) + r["size"]
+        kept = docs.sparkSession.createDataFrame(kept, "id string")
+        weigh = F.element_at(F.create_map(*[F.lit(x) for y, n in weight.items() for x in (float(y), counts[y] / n)]), F.col("y")) if weight else F.lit(1.0)
         got = sample.join(F.broadcast(kept), "id").withColumn("c", weigh).groupBy().applyInArrow(train, "i long, w double").toPandas()
     if not len(got):
         return Model(np.zeros(0, dtype=np.int64), np.zeros(0), 0.0, bits)
