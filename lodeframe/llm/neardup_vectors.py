@@ -202,7 +202,8 @@ def link(rows: DataFrame, cosine: float = COSINE, block: int = BLOCK, id_col: st
         comp = components(tallies.filter("a <> b").select("a", "b").distinct())
         named = heads.select("node", *same, "least", "copies").join(comp, "node", "left").withColumn("root", F.coalesce("component", "node")).join(n_links, "node", "left")
         named = written(named.select(*same, "root", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links")), "named")
-        named = named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(*same, "links", "component_id")
+        least = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        named = named.join(least, "root").select(*same, "links", "component_id")
         id_ = F.col("vec_id").cast("long")
         linked = _keyed(rows, id_col, vec_col).join(named, same, "left")
         component = F.coalesce("component_id", id_)
