@@ -254,12 +254,19 @@ class Join(Operator):
         return "(" + ",".join(f"{n}={v.toString() if isinstance(v, Schema) else repr(v)}" for n, v in shown if v is not None) + ")"
 
     def dataframe(self, read: Callable[[str], DataFrame]) -> DataFrame:
-        left, right = self.left.dataframe(read), self.right.dataframe(read)
+        left, right = self.left.dataframe(read), self._by_index(read)
+        in_buckets = right is not None
+        right = right if in_buckets else self.right.dataframe(read)
         if self.lhsSchema is not None:
             left = left.toDF(*self.lhsSchema.names)
         if self.rhsSchema is not None:
             right = right.toDF(*self.rhsSchema.names)
-        return joined(left, right, self.method, self.key_pairs(), self.expr)
+        return joined(left, right, self.method, self.key_pairs(), self.expr, in_buckets)
+
+    def _by_index(self, read: Callable[[str], DataFrame]) -> DataFrame | None:
+        """The index's copy of the right relation, if the join is by an index that has one."""
+        own = self.method == "indexed" and isinstance(self.right, TableScan) and getattr(self.indexId, "relation", None) == self.right.relation
+        return read.by_index(self.indexId) if own and hasattr(read, "by_index") else None
 
 
 @dataclass(frozen=True, eq=False)

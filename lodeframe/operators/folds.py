@@ -1,14 +1,17 @@
 """User-defined aggregates (start, step, finish) as Spark aggregates.
 
-step(acc, row) is called once with placeholders. If it comes to a minimum, a maximum or a sum of something of the
+step(acc, row) is called once with placeholders. If it comes to a minimum, a maximum, a sum or a bitwise and, or, xor of something of the
 row - or a tuple of such - it becomes Spark's own aggregate, which sums map-side; start is part of the result, as in
 least(start, min(x)). finish is called with the results' columns. Any other step runs in
-Python over each group's rows as a stream of batches: one accumulator a group, whatever its size, in no set order.
+Python over each group's rows as a stream of batches: one accumulator a group, whatever its size, in no set order. Only the fields that
+its code reads are sent there; all of them if the row goes anywhere else.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import dis
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -33,6 +36,17 @@ class Accumulator:
     def __sub__(self, x: object) -> Step:
         return Step("sum", -value(x))
 
+    def __xor__(self, x: object) -> Step:
+        return Step("xor", value(x))
+
+    def __and__(self, x: object) -> Step:
+        return Step("and", value(x))
+
+    def __or__(self, x: object) -> Step:
+        return Step("or", value(x))
+
+    __rxor__, __rand__, __ror__ = __xor__, __and__, __or__
+
     def __bool__(self) -> bool:
         raise NotTranslatable("a choice by the accumulator")
 
@@ -69,10 +83,18 @@ def _recorded(step: Callable, start: object, row: V.RowProxy) -> Step | tuple[St
     out = got if isinstance(got, tuple) else (got,)
     own = parts if isinstance(parts, tuple) else (parts,)
     if len(out) != len(own) or not all(isinstance(o, Step) or o is a for o, a in zip(out, own, strict=True)):
-        raise NotTranslatable("not a minimum, maximum or sum")
+        raise NotTranslatable("not a step of the known kinds")
     return got
 
 
+#: kind of step -> aggregate of the rows, and how start joins it
+BITWISE = {
+    "xor": (F.bit_xor, lambda a, b: a.bitwiseXOR(b)),
+    "and": (F.bit_and, lambda a, b: a.bitwiseAND(b)),
+    "or": (F.bit_or, lambda a, b: a.bitwiseOR(b)),
+}
+
+
 def _column(s: Step | Accumulator, start: object) -> Value:
     first = value(start)
     if isinstance(s, Accumulator):
@@ -84,6 +106,11 @@ def _column(s: Step | Accumulator, start: object) -> Value:
         if kind == "str":
             raise NotTranslatable("a sum of strings has an order")
         return Value(init + F.sum(x), "int" if kind == "bool" else kind)
+    if s.kind in BITWISE:
+        if kind != "int":
+            raise NotTranslatable("bits of what isn't an integer")
+        gathered, together = BITWISE[s.kind]
+        return Value(together(init, gathered(x)), kind)
     return Value(F.least(init, F.min(x)) if s.kind == "min" else F.greatest(init, F.max(x)), kind)
 
 
@@ -110,10 +137,32 @@ def grouped(df: DataFrame, keys: list[Column], group: Schema, agg: Schema, folds
     return out.select(*(t.column(F.col(f"`{by_name.get(n, n)}`")).alias(n) for n, t in kinds))
 
 
+def fields_read(step: Callable, names: list[str]) -> list[str]:
+    """Those fields that a step's code takes from its row; all if it isn't plain code that only takes fields by name."""
+    code = getattr(step, "__code__", None)
+    if code is None or code.co_argcount != 2 or code.co_varnames[1] in code.co_cellvars:
+        return names
+    row, found = code.co_varnames[1], set()
+    steps = list(dis.get_instructions(code))
+    for at, after in zip(steps, [*steps[1:], None], strict=True):
+        if not at.opname.startswith(("LOAD_FAST", "STORE_FAST", "DELETE_FAST")):
+            continue
+        variables = at.argval if isinstance(at.argval, tuple) else (at.argval,)
+        if row not in variables:
+            continue
+        if not at.opname.startswith("LOAD_FAST") or variables.index(row) < len(variables) - 1 or after is None or after.opname not in ("LOAD_ATTR", "LOAD_METHOD"):
+            return names
+        found.add(after.argval)
+    return [n for n in names if n in found]
+
+
 def _streamed(df: DataFrame, keys: list[Column], group: Schema, agg: Schema, folds: list[tuple], source: Schema) -> DataFrame:
     plain = [f"_key{i}" for i in range(len(keys))]
-    keyed = df.select(*(k.alias(p) for k, p in zip(keys, plain, strict=True)), *df.columns)
-    names, row_type = df.columns, source.row_type
+    read = {n for f in folds for n in fields_read(f[1], df.columns)}
+    names, row_type = [n for n in df.columns if n in read], source.row_type
+    keyed = df.select(*(k.alias(p) for k, p in zip(keys, plain, strict=True)), *(F.col(f"`{n}`") for n in names))
+    places = [df.columns.index(n) for n in names]
+    width = len(df.columns)
     struct = keyed.select(*plain).schema
     kinds = [f.dataType.simpleString() for f in struct]
     results = [t.spark.simpleString() for _, t in agg.fields]
@@ -122,7 +171,9 @@ def _streamed(df: DataFrame, keys: list[Column], group: Schema, agg: Schema, fol
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = [f[0] for f in folds]
         for b in batches:
-            columns = [b.column(b.schema.get_field_index(n)).to_pylist() for n in names]
+            columns: list[Iterable] = [itertools.repeat(None, b.num_rows) for _ in range(width)]  # a field that isn't read
+            for i, n in zip(places, names, strict=True):
+                columns[i] = b.column(b.schema.get_field_index(n)).to_pylist()
             for values in zip(*columns, strict=True):
                 row = row_type(*values)
                 state = [f[1](s, row) for f, s in zip(folds, state, strict=True)]

@@ -25,14 +25,14 @@ def fits_broadcast(df: DataFrame) -> bool:
     return size_of(df) <= bound
 
 
-def joined(left: DataFrame, right: DataFrame, method: str, keys: list[tuple[str, str]], condition: str | None) -> DataFrame:
+def joined(left: DataFrame, right: DataFrame, method: str, keys: list[tuple[str, str]], condition: str | None, in_buckets: bool = False) -> DataFrame:
     """Rows of both sides with equal keys for which the condition is true.
 
     The condition's equalities of a left and a right field become join keys in Spark's planner, so that a loop join with
     such a condition is dealt out by key. Where the smaller side's size is within the session's bound for broadcasts, it
     is sent whole and the larger side stays where it is. Beyond that the method decides: hash joins build hash tables of
-    shuffled partitions, index joins merge inputs in key order (nothing to sort if the right one is bucketed and sorted by
-    its key), and loop joins are left to the planner.
+    shuffled partitions, index joins merge inputs in key order or, where the right one lies in buckets of its key, build a hash
+    table of each bucket, so that only the left one moves; loop joins are left to the planner.
     """
     struct = type(left.schema)([*left.schema, *right.schema])
     tests: list[Column] = [F.col(f"`{a}`") == F.col(f"`{b}`") for a, b in keys]
@@ -44,5 +44,5 @@ def joined(left: DataFrame, right: DataFrame, method: str, keys: list[tuple[str,
     elif method == "hash":
         left, right = (left.hint("shuffle_hash"), right) if small is left else (left, right.hint("shuffle_hash"))
     elif method == "indexed":
-        right = right.hint("merge")
+        right = right.hint("shuffle_hash" if in_buckets else "merge")
     return left.join(right, reduce(lambda a, b: a & b, tests), "inner")

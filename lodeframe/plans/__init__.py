@@ -15,6 +15,19 @@ if TYPE_CHECKING:
     from lodeframe.sources.catalog import Database
 
 
+class Reader:
+    """Reads relations for operators: those given by name, or the stored ones; by an index its copy in buckets, if it has one."""
+
+    def __init__(self, db: Database | None, replaced: dict[str, DataFrame]):
+        self.db, self.replaced = db, replaced
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.replaced[name] if name in self.replaced else self.db.table(name)
+
+    def by_index(self, index: object) -> DataFrame | None:
+        return None if index.relation in self.replaced else self.db.indexed(index)
+
+
 class Plan:
     """A query. It is run by what reads its rows, anew each time; dataframe() gives the lazy Spark result."""
 
@@ -38,7 +51,7 @@ class Plan:
 
     def dataframe(self, **replaced: DataFrame) -> DataFrame:
         """The result. A relation given by name takes the place of the stored one; it may be a stream."""
-        return self.root.dataframe(lambda name: replaced[name] if name in replaced else self.db.table(name))
+        return self.root.dataframe(Reader(self.db, replaced))
 
     def __iter__(self) -> Iterator[Row]:
         return self.dataframe().toLocalIterator()

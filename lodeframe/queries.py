@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeframe.functions.types import Schema
@@ -113,6 +113,17 @@ def join_index(db: Database) -> PlanBuilder:
     return joined.select({"l_orderkey": ("l_orderkey", "bigint"), "l_linenumber": ("l_linenumber", "int"), "o_custkey": ("o_custkey", "bigint")})
 
 
+@registered("SELECT l_orderkey, l_linenumber, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey < 300")
+def join_index_built(db: Database) -> PlanBuilder:
+    """Over a copy in buckets of the key: the right side stays where it is."""
+    _own(db, "orders", "o_custkey < 300", ("o_orderkey", "o_custkey"))
+    index = db.createIndex("own", key(("o_orderkey", "double")))
+    db.buildIndex(index, 8)
+    left = db.query().fromTable("lineitem").select({"k": ("l_orderkey", "double"), "l_orderkey": ("l_orderkey", "bigint"), "l_linenumber": ("l_linenumber", "int")})
+    joined = left.join(db.query().fromTable("own"), method="indexed", lhsKeySchema=key(("k", "double")), indexId=index)
+    return joined.select({"l_orderkey": ("l_orderkey", "bigint"), "l_linenumber": ("l_linenumber", "int"), "o_custkey": ("o_custkey", "bigint")})
+
+
 @registered("SELECT o_custkey, least(9223372036854775807, min(o_orderkey))::BIGINT AS low, greatest(0, max(-o_orderkey))::BIGINT AS high FROM orders GROUP BY o_custkey")
 def groupby_minmax_sentinel(db: Database) -> PlanBuilder:
     return db.query().fromTable("orders").groupBy(groupSchema=key(("o_custkey", "bigint")), aggSchema=key(("low", "bigint"), ("high", "bigint")), groupExpr=lambda e: e.o_custkey, aggExprs=[(sys.maxsize, lambda acc, e: min(acc, e.o_orderkey), lambda x: x), (0, lambda acc, e: max(acc, -e.o_orderkey), lambda x: x)], groupHashFn=lambda k: hash(k) % 2)
@@ -123,8 +134,20 @@ def groupby_fold_generic(db: Database) -> PlanBuilder:
     return db.query().fromTable("lineitem").groupBy(groupSchema=key(("l_orderkey", "bigint")), aggSchema=key(("twice", "bigint")), groupExpr=lambda e: e.l_orderkey, aggExprs=[(0, lambda acc, e: acc + e.l_linenumber, lambda x: x * 2)], groupHashFn=lambda k: hash(k) % 2)
 
 
-@registered("SELECT o_custkey, bit_xor(o_orderkey) AS bits FROM orders GROUP BY o_custkey")
+@registered("SELECT o_custkey, count(*) FILTER (o_orderstatus = 'O') AS n FROM orders GROUP BY o_custkey")
 def groupby_fold_python(db: Database) -> PlanBuilder:
+    """A step with a choice, which runs in Python over the two columns it reads."""
+    return db.query().fromTable("orders").groupBy(groupSchema=key(("o_custkey", "bigint")), aggSchema=key(("n", "bigint")), groupExpr=lambda e: e.o_custkey, aggExprs=[(0, lambda acc, e: acc + 1 if e.o_orderstatus == "O" else acc, lambda x: x)], groupHashFn=lambda k: hash(k) % 2)
+
+
+@registered("SELECT o_custkey, xor(bit_xor(o_orderkey), 5) AS odd, bit_or(o_orderkey) | 1 AS some, bit_and(o_orderkey) & 255 AS every FROM orders GROUP BY o_custkey")
+def groupby_fold_bits(db: Database) -> PlanBuilder:
+    folds = [(5, lambda acc, e: acc ^ e.o_orderkey, lambda x: x), (1, lambda acc, e: acc | e.o_orderkey, lambda x: x), (255, lambda acc, e: acc & e.o_orderkey, lambda x: x)]
+    return db.query().fromTable("orders").groupBy(groupSchema=key(("o_custkey", "bigint")), aggSchema=key(("odd", "bigint"), ("some", "bigint"), ("every", "bigint")), groupExpr=lambda e: e.o_custkey, aggExprs=folds, groupHashFn=lambda k: hash(k) % 2)
+
+
+@registered("SELECT o_custkey, bit_xor(o_orderkey) AS bits FROM orders GROUP BY o_custkey")
+def groupby_fold_xor(db: Database) -> PlanBuilder:
     return db.query().fromTable("orders").select(same("o_custkey", "o_orderkey")).groupBy(groupSchema=key(("o_custkey", "bigint")), aggSchema=key(("bits", "bigint")), groupExpr=lambda e: e.o_custkey, aggExprs=[(0, lambda acc, e: acc ^ e.o_orderkey, lambda x: x)], groupHashFn=lambda k: hash(k) % 2)
 
 
@@ -144,11 +167,22 @@ def where_after_groupby(db: Database) -> PlanBuilder:
     return db.query().fromTable("orders").groupBy(groupSchema=key(("o_custkey", "bigint")), aggSchema=key(("n", "bigint")), groupExpr=lambda e: e.o_custkey, aggExprs=[(0, lambda acc, e: acc + 1, lambda x: x)], groupHashFn=lambda k: hash(k) % 2).where("n > 10")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """Each row with its place in the order in which it comes."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
 @registered("SELECT p_size, p_partkey FROM part ORDER BY p_size, p_partkey")
 def sort_asc(db: Database) -> PlanBuilder:
     return db.query().fromTable("part").order(sortKeyFn=lambda t: (t.p_size, t.p_partkey), sortKeyDesc="size and key").select({"p_size": ("p_size", "int"), "p_partkey": ("p_partkey", "bigint")})
 
 
+@registered("SELECT p_size, p_partkey, row_number() OVER (ORDER BY p_size, p_partkey)::INTEGER AS place FROM part")
+def sort_order(db: Database) -> DataFrame:
+    """The order itself: each row's place in the sorted result."""
+    return _placed(sort_asc(db).finalize().dataframe())
+
+
 _FOUR = "SELECT c_custkey, o_orderkey, n_name, r_name FROM customer JOIN orders ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_totalprice > 50000 AND r_name <> 'ASIA'"
 
 
@@ -204,6 +238,16 @@ def floor_div(db: Database) -> PlanBuilder:
     return db.query().fromTable("part").select({"p_partkey": ("p_partkey", "bigint"), "whole": ("(p_size - 25) // 7", "bigint")})
 
 
+@registered("SELECT p_partkey, (p_size - 25) / 7::DOUBLE AS ratio, (p_size * p_size)::BIGINT AS square, 1 / (p_size::DOUBLE * p_size) AS inverse FROM part")
+def true_division_and_power(db: Database) -> PlanBuilder:
+    return db.query().fromTable("part").select({"p_partkey": ("p_partkey", "bigint"), "ratio": ("(p_size - 25) / 7", "double"), "square": ("p_size ** 2", "bigint"), "inverse": ("1 / p_size ** 2", "double")})
+
+
+@registered("SELECT p_partkey, (p_size & 12 | xor(p_size, 3))::BIGINT AS bits, (p_size << 3)::BIGINT AS up, (p_size >> 2)::BIGINT AS down, (~p_size)::BIGINT AS turned FROM part WHERE p_size & 1 = 1")
+def bit_operators(db: Database) -> PlanBuilder:
+    return db.query().fromTable("part").where("p_size & 1 == 1").select({"p_partkey": ("p_partkey", "bigint"), "bits": ("p_size & 12 | p_size ^ 3", "bigint"), "up": ("p_size << 3", "bigint"), "down": ("p_size >> 2", "bigint"), "turned": ("~p_size", "bigint")})
+
+
 @registered("SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND p_brand NOT IN ('Brand#11')")
 def in_list(db: Database) -> PlanBuilder:
     return db.query().fromTable("part").where("p_size in [1, 5, 9] and p_brand not in ('Brand#11',)").select(same("p_partkey"))
@@ -242,14 +286,22 @@ def sample_whole(db: Database) -> DataFrame:
     return db.spark.createDataFrame([(float(plan.sample(1)),)], "estimate double")
 
 
+@registered("SELECT true AS near, true AS whole FROM (SELECT count(*) FROM orders)")
+def sample_bounds(db: Database) -> DataFrame:
+    """The estimate from about a fourth of the rows is within a tenth of the number; reads at factor 1 give the number itself."""
+    plan = db.query().fromTable("orders").where("o_totalprice > 1000").finalize()
+    n = plan.dataframe().count()
+    return db.spark.createDataFrame([(abs(plan.sample(4) - n) <= max(0.1 * n, 60), plan.sample(1) == n)], "near boolean, whole boolean")
+
+
 @registered("SELECT * FROM orders WHERE o_orderkey = 7")
 def index_lookup(db: Database) -> DataFrame:
     return db.lookupByIndex(db.createIndex("orders", key(("o_orderkey", "bigint"))), 7)
 
 
-def _own(db: Database, table: str) -> Database:
+def _own(db: Database, table: str, condition: str = "true", columns: tuple[str, ...] = ()) -> Database:
     """The relation with rows of its own, so that it can change."""
-    source = db.table(table)
+    source = db.table(table).filter(condition).select(*(columns or ["*"]))
     fields = [(f.name, {"bigint": "double", "string": "text(200)"}.get(f.dataType.simpleString(), f.dataType.simpleString())) for f in source.schema]
     db.createRelation("own", fields)
     db.insert("own", source)
@@ -291,6 +343,74 @@ def delimited_files(db: Database) -> DataFrame:
     return delimited.read(db.spark, path, Schema("nation", [("n_nationkey", "int"), ("n_name", "char(25)"), ("n_regionkey", "int")]))
 
 
+@registered("SELECT n_nationkey AS N_NATIONKEY, n_name AS N_NAME, n_regionkey AS N_REGIONKEY, 'a comment' AS N_COMMENT FROM nation")
+def dataset_load(db: Database) -> DataFrame:
+    """The workload's relations, from files in its format."""
+    return _loaded(db, plain=False)
+
+
+@registered("SELECT n_nationkey, n_name, n_regionkey, 'a comment' AS n_comment FROM nation")
+def dataset_load_imported(db: Database) -> DataFrame:
+    """In the variant of plain imports."""
+    return _loaded(db, plain=True)
+
+
+def _loaded(db: Database, plain: bool) -> DataFrame:
+    import uuid
+
+    from lodeframe.sources.workload import Workload
+
+    folder = f"{db.spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/lodeframe/load-{uuid.uuid4().hex}"
+    db.table("nation").select("n_nationkey", "n_name", "n_regionkey", F.lit("a comment")).write.csv(f"{folder}/nation.csv", sep="|", quote="", escape="")
+    own, work = Database(db.spark), Workload(only=("nation",), plain=plain)
+    work.createRelations(own)
+    work.loadDataset(own, folder)
+    return own.table("nation")
+
+
+@registered("SELECT (SELECT count(*) FROM part) AS rows, true AS whole, (SELECT count(*) FROM part) AS stated")
+def page_headers(db: Database) -> DataFrame:
+    """Rows by the files' headers, and by the relation's statistics."""
+    stats = _own(db, "part").relationStats("own")
+    got = db.headers("own").agg(F.sum("rows").alias("rows"), F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    return got.select("rows", ((F.col("n") == stats["files"]) & (F.col("bytes") <= stats["bytes"])).alias("whole"), F.lit(stats["rows"]).cast("long").alias("stated"))
+
+
+@registered("SELECT n_nationkey, CASE WHEN n_regionkey = 2 AND n_nationkey > 8 THEN 'far' ELSE n_name END AS n_name, n_regionkey FROM nation")
+def update_by_condition(db: Database) -> DataFrame:
+    _own(db, "nation").updateTuple("own", "n_regionkey == 2 and n_nationkey > 8", {"n_name": "far"})
+    return db.table("own")
+
+
+@registered("SELECT n_nationkey, n_name, n_regionkey, 3::BIGINT AS refused FROM nation")
+def primary_key_conflict(db: Database) -> DataFrame:
+    """A row, rows and a change that would repeat a primary key are refused, and nothing of them stays."""
+    _own(db, "nation").createIndex("own", Schema("key", [("n_nationkey", "int")]), primary=True)
+    refused = 0
+    for change in (lambda: db.insertTuple("own", (3, "again", 0)), lambda: db.insert("own", db.table("nation").limit(2)), lambda: db.updateByKey("own", 3, {"n_nationkey": 4})):
+        try:
+            change()
+        except ValueError:
+            refused += 1
+    return db.table("own").withColumn("refused", F.lit(refused).cast("long"))
+
+
+@registered("SELECT * FROM nation")
+def reader_outlives_change(db: Database) -> DataFrame:
+    """A result over rows that have changed since."""
+    before = _own(db, "nation").table("own")
+    db.deleteTuple("own", "n_regionkey == 2")
+    db.clearTuple("own", "n_regionkey == 1")
+    return before
+
+
+@registered("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey)::INTEGER AS place FROM orders WHERE o_custkey < 200")
+def index_scan_order(db: Database) -> DataFrame:
+    """The order of an index scan."""
+    _own(db, "orders", "o_custkey < 200", ("o_orderkey", "o_custkey"))
+    return _placed(db.scanByIndex(db.createIndex("own", key(("o_orderkey", "double")))).select(F.col("o_orderkey").cast("long").alias("o_orderkey")))
+
+
 @registered("SELECT o_orderkey FROM orders ORDER BY o_orderkey")
 def index_scan(db: Database) -> DataFrame:
     return db.scanByIndex(db.createIndex("orders", key(("o_orderkey", "bigint")))).select("o_orderkey")

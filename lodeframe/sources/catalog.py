@@ -1,19 +1,21 @@
 """Named relations: definition, rows, changes, indexes, and their catalog on disk.
 
 A relation is a chain of Parquet snapshots in a folder of the data directory. Appends add files to the current
-snapshot; a change writes a new one and then moves the catalog's pointer, so that readers see the old rows or the
-new ones. Rows have no ids of their own: changes name them by key or by condition. An index is the record of a
-key; lookups by it are filters that reach Parquet's statistics, and `write_sorted` stores a relation in key order so
-that these skip files.
+snapshot; a change writes a new one and then moves the catalog's pointer. Snapshots that are out of date stay until vacuum() or
+close(), so that readers go on with the rows they began with. Rows have no ids of their own: changes name them by key or by
+condition. An index is the record of a key; a primary one is kept unique by every insert and update. Lookups by an index are filters
+that reach Parquet's statistics; writeSorted() stores a relation in key order so that these skip files, and
+buildIndex() a copy in buckets of the key, which joins and lookups use for as long as the relation doesn't change.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ class Relation:
     external: bool = False
     indexes: dict[int, Index] = field(default_factory=dict)
     count: int | None = None
+    #: snapshots that are out of date, and how often rows changed
+    old: list[str] = field(default_factory=list)
+    version: int = 0
+    #: by index: the table of its copy in buckets, and the version it is of
+    copies: dict[int, tuple[str, int]] = field(default_factory=dict)
+
+
+def _repeats(df: DataFrame, names: list[str]) -> bool:
+    return bool(df.groupBy(*names).count().filter("count > 1").limit(1).count())
 
 
 class Database:
@@ -97,6 +108,9 @@ class Database:
         """Drop a relation and, unless it is detached or external, its files. A detached one's path can be attached again."""
         r = self._known(name)
         self._flush(name)
+        self.vacuum(name)
+        for number in list(r.copies):
+            self._drop_copy(r, number)
         del self._relations[name]
         self.checkpoint()
         if r.path and not (detach or r.external):
@@ -110,7 +124,7 @@ class Database:
     def pack(self) -> str:
         return json.dumps(
             {
-                "relations": {n: {"schema": r.schema and r.schema.pack(), "path": r.path, "external": r.external, "count": r.count, "indexes": [{"id": i.id, "key": i.key.pack(), "primary": i.primary} for i in r.indexes.values()]} for n, r in self._relations.items()},
+                "relations": {n: {"schema": r.schema and r.schema.pack(), "path": r.path, "external": r.external, "count": r.count, "old": r.old, "indexes": [{"id": i.id, "key": i.key.pack(), "primary": i.primary} for i in r.indexes.values()]} for n, r in self._relations.items()},
                 "next_index": self._next_index,
             }
         )
@@ -118,13 +132,21 @@ class Database:
     def restore(self) -> None:
         got = json.loads(files.read_text(self.spark, f"{self.dataDir}/catalog.json"))
         self._next_index = got["next_index"]
-        self._relations = {n: Relation(r["schema"] and unpack(r["schema"]), r["path"], r["external"], {i["id"]: Index(i["id"], n, unpack(i["key"]), i["primary"]) for i in r["indexes"]}, r["count"]) for n, r in got["relations"].items()}
+        self._relations = {n: Relation(r["schema"] and unpack(r["schema"]), r["path"], r["external"], {i["id"]: Index(i["id"], n, unpack(i["key"]), i["primary"]) for i in r["indexes"]}, r["count"], r.get("old", [])) for n, r in got["relations"].items()}
 
     def close(self) -> None:
         for name in list(self._pending):
             self._flush(name)
+        self.vacuum()
         self.checkpoint()
 
+    def vacuum(self, name: str | None = None) -> None:
+        """Remove snapshots that are out of date; DataFrames over them can't be read any more."""
+        for r in [self._known(name)] if name else self._relations.values():
+            for path in r.old:
+                files.delete(self.spark, path)
+            r.old = []
+
     # rows
 
     def table(self, name: str) -> DataFrame:
@@ -138,15 +160,24 @@ class Database:
     def _flush(self, name: str) -> None:
         rows = self._pending.pop(name, [])
         if rows:
-            self._append(name, self.spark.createDataFrame(rows, self._known(name).schema.struct))
+            self._append(name, self.spark.createDataFrame(rows, self._known(name).schema.struct), unique=True)
 
-    def _append(self, name: str, df: DataFrame) -> None:
+    def _stored(self, name: str) -> DataFrame | None:
+        r = self._known(name)
+        return self.spark.read.schema(r.schema.struct).parquet(r.path) if r.path else None
+
+    def _append(self, name: str, df: DataFrame, unique: bool = False) -> None:
         r = self._known(name)
         if r.external:
             raise ValueError(f"relation {name!r} is external; its files don't change")
+        primary = self.primaryIndex(name)
+        if primary is not None and not unique:
+            names, stored = primary.key.names, self._stored(name)
+            if _repeats(df, names) or stored is not None and df.select(*names).join(stored.select(*names), names, "left_semi").limit(1).count():
+                raise ValueError(f"a primary key of {name!r} can't repeat")
         path, new = r.path or self._snapshot(name), r.path is None
         df.write.mode("append").parquet(path)
-        r.count = None
+        r.count, r.version = None, r.version + 1
         if new:
             r.path = path
         self.checkpoint()
@@ -156,16 +187,24 @@ class Database:
         return f"{home}/{name}/{uuid.uuid4().hex}"
 
     def insertTuple(self, name: str, row: Iterable) -> None:
-        """One row; rows are written together before the relation is read next."""
+        """One row; rows are written together before the relation is read next. ValueError for a primary key that is there already."""
         r = self._known(name)
         if r.external:
             raise ValueError(f"relation {name!r} is external; its files don't change")
-        self._pending.setdefault(name, []).append(tuple(r.schema.stored(tuple(row))))
+        row = tuple(r.schema.stored(tuple(row)))
+        primary = self.primaryIndex(name)
+        if primary is not None:
+            at = [r.schema.names.index(k) for k in primary.key.names]
+            own, stored = tuple(row[i] for i in at), self._stored(name)
+            waiting = any(tuple(other[i] for i in at) == own for other in self._pending.get(name, ()))
+            if waiting or stored is not None and stored.filter(self._matching(name, self._key(primary, own))).limit(1).count():
+                raise ValueError(f"a primary key of {name!r} can't repeat: {own}")
+        self._pending.setdefault(name, []).append(row)
         if len(self._pending[name]) >= 10_000:
             self._flush(name)
 
     def insert(self, name: str, df: DataFrame) -> None:
-        """All rows of a DataFrame, columns by place, in the relation's types."""
+        """All rows of a DataFrame, columns by place, in the relation's types; none if a primary key would repeat (ValueError)."""
         self._flush(name)
         self._append(name, self._known(name).schema.cast(df))
 
@@ -175,10 +214,10 @@ class Database:
             raise ValueError(f"relation {name!r} is external; its files don't change")
         old, path = r.path, self._snapshot(name)
         df.write.parquet(path)
-        r.path, r.count = path, None
-        self.checkpoint()
+        r.path, r.count, r.version = path, None, r.version + 1
         if old:
-            files.delete(self.spark, old)
+            r.old.append(old)
+        self.checkpoint()
 
     def _matching(self, name: str, condition: str | dict[str, object]) -> Column:
         schema = self._known(name).schema
@@ -197,14 +236,18 @@ class Database:
         self._replace(name, self.table(name).filter(~F.coalesce(where, F.lit(False))))
 
     def updateTuple(self, name: str, condition: str | dict[str, object], row: Iterable | dict[str, object]) -> None:
-        """The rows that a condition holds for become `row`, or get its fields if it is a dictionary."""
+        """The rows that a condition holds for become `row`, or get its fields if it is a dictionary; none if a primary key would repeat (ValueError)."""
         schema, where = self._known(name).schema, self._matching(name, condition)
         new = row if isinstance(row, dict) else dict(zip(schema.names, row, strict=True))
         unknown = set(new) - set(schema.names)
         if unknown:
             raise ValueError(f"no field {', '.join(unknown)} in {name!r}")
         df = self.table(name)
-        self._replace(name, df.select(*(F.when(where, t.column(F.lit(new[f]))).otherwise(F.col(f"`{f}`")).alias(f) if f in new else F.col(f"`{f}`") for f, t in schema.fields)))
+        changed = df.select(*(F.when(where, t.column(F.lit(new[f]))).otherwise(F.col(f"`{f}`")).alias(f) if f in new else F.col(f"`{f}`") for f, t in schema.fields))
+        primary = self.primaryIndex(name)
+        if primary is not None and set(primary.key.names) & set(new) and _repeats(changed, primary.key.names):
+            raise ValueError(f"a primary key of {name!r} can't repeat")
+        self._replace(name, changed)
 
     def clearTuple(self, name: str, condition: str | dict[str, object]) -> None:
         """The rows that a condition holds for stay as rows of default values."""
@@ -227,6 +270,16 @@ class Database:
         if page:
             yield page
 
+    def mapPages(self, name: str, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 1024) -> DataFrame:
+        """f of each page of up to `rows` rows, as an Arrow batch: pages() where the rows are, without the driver."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(0, b.num_rows, rows):
+                    yield f(b.slice(i, rows))
+
+        return self.table(name).mapInArrow(run, schema)
+
     # statistics
 
     def known_count(self, name: str) -> int:
@@ -274,7 +327,7 @@ class Database:
         absent = [(f, str(t)) for f, t in key.fields if (f, t) not in r.schema.fields]
         if absent:
             raise ValueError(f"not fields of {name!r}: {absent}")
-        if primary and self.table(name).groupBy(*key.names).count().filter("count > 1").limit(1).count():
+        if primary and _repeats(self.table(name), key.names):
             raise ValueError("a primary key can't repeat")
         return self.addIndex(name, key, primary)
 
@@ -287,9 +340,40 @@ class Database:
         return made
 
     def removeIndex(self, name: str, index: Index) -> None:
-        self._known(name).indexes.pop(index.id)
+        r = self._known(name)
+        r.indexes.pop(index.id)
+        self._drop_copy(r, index.id)
         self.checkpoint()
 
+    def buildIndex(self, index: Index, buckets: int | None = None) -> None:
+        """Store a copy of the relation in buckets of the key, sorted by it.
+
+        Joins by the index read the copy where it lies, dealt out by key, and lookups one bucket of it, until rows change; then it is
+        out of use until it is built again. It lasts as long as the session.
+        """
+        r, df = self._known(index.relation), self.table(index.relation)
+        n = buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self._drop_copy(r, index.id)
+        name, names = f"lodeframe_index_{uuid.uuid4().hex}", index.key.names
+        writer = df.repartition(n, *names).write.format("parquet").bucketBy(n, *names).sortBy(*names)
+        writer.option("path", f"{self._snapshot(index.relation)}-index").saveAsTable(name)
+        r.copies[index.id] = (name, r.version)
+
+    def _drop_copy(self, r: Relation, number: int) -> None:
+        got = r.copies.pop(number, None)
+        if got:
+            path = self.spark.sql(f"DESCRIBE FORMATTED {got[0]}").filter("col_name = 'Location'").first()
+            self.spark.sql(f"DROP TABLE IF EXISTS {got[0]}")
+            if path:
+                files.delete(self.spark, path["data_type"])
+
+    def indexed(self, index: Index) -> DataFrame | None:
+        """The copy in buckets of an index, if there is one of the current rows."""
+        r = self._known(index.relation)
+        self._flush(index.relation)
+        name, version = r.copies.get(index.id, (None, -1))
+        return self.spark.table(name) if name and version == r.version else None
+
     detachIndex = removeIndex
 
     def getIndex(self, number: int) -> Index | None:
@@ -315,7 +399,8 @@ class Database:
 
     def lookupByIndex(self, index: Index, key: object) -> DataFrame:
         """All rows of a key."""
-        return self.table(index.relation).filter(self._matching(index.relation, self._key(index, key)))
+        built = self.indexed(index)
+        return (self.table(index.relation) if built is None else built).filter(self._matching(index.relation, self._key(index, key)))
 
     def _primary(self, name: str) -> Index:
         index = self.primaryIndex(name)

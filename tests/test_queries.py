@@ -4,6 +4,7 @@ import sys
 import pytest
 
 from lodeframe.functions.types import Schema
+from lodeframe.operators import folds
 from lodeframe.plans import PlanBuilder
 from lodeframe.sources.catalog import Database
 
@@ -305,3 +306,31 @@ def test_streams(db, spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         over_stream(plan, other=stream)
+
+
+def _all_of(row):
+    return row.id
+
+
+def test_fields_that_steps_read():
+    names = ["id", "age", "salary"]
+    read = folds.fields_read
+    assert read(lambda acc, e: acc + e.age if e.id > 3 else acc, names) == ["id", "age"]
+    assert read(lambda acc, e: acc + 1, names) == []
+    assert read(lambda acc, e: (acc[0] + e.salary, max(acc[1], e.salary)), names) == ["salary"]
+    assert read(lambda acc, e: acc + _all_of(e), names) == names
+    assert read(lambda acc, e: acc + sum(x for x in e), names) == names
+    assert read(max, names) == names
+
+    def step(acc, e):
+        f = lambda: e.id
+        return acc + f()
+
+    assert read(step, names) == names
+
+
+def test_python_folds_read_few_columns(db):
+    q = grouped(employee(db), [(0, lambda acc, e: acc + 1 if e.age > 30 else acc, lambda x: x)], [("n", "int")], by=lambda e: e.age % 3, group=Schema("g", [("rest", "int")]))
+    df = q.dataframe()
+    assert "ReadSchema: struct<age:int>" in df._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n for r in df.collect()) == sum(2 * i + 20 > 30 for i in range(20))

@@ -3,7 +3,7 @@ import pytest
 from lodeframe.functions.types import Schema
 from lodeframe.sources import delimited
 from lodeframe.sources.catalog import Database
-from lodeframe.sources.workload import Workload
+from lodeframe.sources.workload import Workload, scanned
 
 ID, AGE = Schema("k", [("id", "int")]), Schema("k", [("age", "int")])
 
@@ -160,3 +160,71 @@ def test_random_reads_fetch_whole_rows(spark, tmp_path):
     assert {r.tuples for r in got.values()} == {150}
     assert got[0].checksum == got[1].checksum == every  # each row once, in turn and out of turn
     assert len({got[0.2].checksum, got[0.5].checksum, w.randomizedOperations(db, ["orders"], 0.5, seed=1).checksum, every}) == 4
+
+
+def test_a_scan_reads_every_column(db):
+    plan = scanned(db.table("employee"))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:int,age:int>" in plan
+
+
+def test_readers_outlive_changes(db):
+    old = db.table("employee")
+    db.deleteTuple("employee", "age >= 30")
+    db.updateTuple("employee", {"id": 1}, {"age": 0})
+    assert old.count() == 20 and len(ids(db.table("employee"))) == 5
+    db.vacuum("employee")
+    assert len(ids(db.table("employee"))) == 5
+
+
+def test_primary_keys_stay_unique(db, spark):
+    db.createIndex("employee", ID, primary=True)
+    db.insertTuple("employee", (100, 1))
+    more = spark.createDataFrame([(200, 1), (200, 2)], "id int, age int")
+    for change in (
+        lambda: db.insertTuple("employee", (3, 1)),
+        lambda: db.insertTuple("employee", (100, 2)),
+        lambda: db.insert("employee", more),
+        lambda: db.insert("employee", spark.createDataFrame([(5, 1)], "id int, age int")),
+        lambda: db.updateByKey("employee", 3, {"id": 4}),
+        lambda: db.updateTuple("employee", "id < 2", {"id": 300}),
+    ):
+        with pytest.raises(ValueError):
+            change()
+    assert ids(db.table("employee")) == [*range(20), 100]
+    db.updateByKey("employee", 3, {"id": 300})
+    db.updateTuple("employee", "id < 2", {"age": 0})
+    db.insert("employee", more.limit(1))
+    assert ids(db.table("employee")) == sorted({*range(20), 100, 200, 300} - {3})
+
+
+def test_an_index_in_buckets(db, spark):
+    index = db.createIndex("employee", ID)
+    db.buildIndex(index, 4)
+    other = db.relationSchema("employee").rename("employee2", {"id": "id2", "age": "age2"})
+    q = db.query().fromTable("employee").join(db.query().fromTable("employee"), rhsSchema=other, method="indexed", lhsKeySchema=ID, indexId=index).finalize()
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = q.dataframe()
+        assert sorted((r.id, r.id2) for r in df.collect()) == [(i, i) for i in range(20)]
+        plan = df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+        executed = df._jdf.queryExecution().executedPlan().toString()
+        final = executed[: executed.index("== Initial Plan")] if "== Initial Plan" in executed else executed
+        assert final.count("Exchange hashpartitioning") <= 1 and "Sort [" not in final
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    assert ids(db.lookupByIndex(index, 7)) == [7]
+    db.insertTuple("employee", (7, 1))
+    assert db.indexed(index) is None and ids(db.lookupByIndex(index, 7)) == [7, 7]
+    db.buildIndex(index, 2)
+    assert ids(db.lookupByIndex(index, 7)) == [7, 7]
+    db.removeIndex("employee", index)
+
+
+def test_pages_where_the_rows_are(db):
+    import pyarrow as pa
+
+    sizes = db.mapPages("employee", lambda page: pa.RecordBatch.from_arrays([pa.array([page.num_rows])], ["n"]), "n long", rows=8)
+    got = [r.n for r in sizes.collect()]
+    assert sum(got) == 20 and max(got) <= 8
