@@ -40,7 +40,7 @@ SIGNATURE, AGREE = 256, 156
 #: least members of a bucket in one block (a large bucket has about BLOCKS, until their size is 8 times that), and most shingles
 BLOCK, BLOCKS, BLOCK_SHINGLES = 256, 32, 1 << 18
 #: partners of a pivot in one cell
-CELL = 512
+CELL = 64
 #: a text that has a word
 WORDY = r"[^\x20\x09-\x0D]"
 
