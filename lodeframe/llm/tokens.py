@@ -10,11 +10,11 @@ special token); it holds if both rims are such cuts again, and else takes in the
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,12 +212,18 @@ class TokenTree:
         self._build([*self.leaves[:first], *parts, *self.leaves[last + 1 :]], [*old[:first], *counts, *old[last + 1 :]])
 
 
-#: what the standing edit takes out: e-mail addresses and runs of 13 to 19 digits
-PERSONAL = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<!\d)\d{13,19}(?!\d)"
+#: what the standing edit takes out: e-mail addresses, which have an @, and runs of 13 to 19 digits
+PERSONAL = (("@", r"[\w.+-]++@[\w-]++(?:\.[\w-]++)+"), ("", r"(?<!\d)\d{13,19}(?!\d)"))
 
 
-def edits_of(text: str, pattern: regex.Pattern, new: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), new) for m in pattern.finditer(text)]
+def edits_of(text: str, patterns: list[tuple[str, re.Pattern]], new: str) -> list[tuple[int, int, str]]:
+    """Edits that put `new` where a pattern is found, from the left, the earlier pattern first; a pattern is looked for in texts with its literal."""
+    found = sorted((m.start(), nth, m.end()) for nth, (literal, p) in enumerate(patterns) if literal in text for m in p.finditer(text))
+    out: list[tuple[int, int, str]] = []
+    for start, _, end in found:
+        if not out or start >= out[-1][1]:
+            out.append((start, end, new))
+    return out
 
 
 def trees(docs: DataFrame, path: str | None = None, most: int = 256) -> DataFrame:
@@ -269,8 +275,8 @@ def updated(kept: DataFrame, edits: DataFrame, path: str | None = None, most: in
     return kept.select(*names).join(lists, "doc_id", "left").mapInArrow(run, f"doc_id {kind}, text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long, n_chars_reencoded long")
 
 
-def count_edited(docs: DataFrame, path: str | None = None, most: int = 256, pattern: str = PERSONAL, new: str = "[x]") -> DataFrame:
-    """Token counts of each document before and after the edits that `pattern` finds.
+def count_edited(docs: DataFrame, path: str | None = None, most: int = 256, patterns: tuple[tuple[str, str], ...] = PERSONAL, new: str = "[x]") -> DataFrame:
+    """Token counts of each document before and after the edits that `patterns` (literal, expression) find.
 
     Returns doc_id, n_tokens, n_edits, n_tokens_edited, n_chars, n_chars_reencoded
     (characters encoded for the edits). A null text counts as empty; a text of any length, repeated rows and
@@ -279,7 +285,7 @@ def count_edited(docs: DataFrame, path: str | None = None, most: int = 256, patt
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, find = tokens(path), regex.compile(pattern)
+        tok, find = tokens(path), [(literal, re.compile(p)) for literal, p in patterns]
         for b in batches:
             out: list[list[int]] = [[], [], [], [], []]
             for text in b.column("text"):

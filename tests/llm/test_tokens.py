@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -112,9 +113,15 @@ def test_kept_trees(spark, docs, empty, corpus, plain, tmp_path):
 
 
 def test_counts(docs, empty, clashing, corpus, plain, spark):
+    personal = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|(?<!\d)\d{13,19}(?!\d)"
+
     def want(t):
-        found = list(regex.finditer(tokens.PERSONAL, t or ""))
-        return len(ids(plain, t)), len(found), len(ids(plain, regex.sub(tokens.PERSONAL, "[x]", t or ""))), len(t or "")
+        found = list(regex.finditer(personal, t or ""))
+        return len(ids(plain, t)), len(found), len(ids(plain, regex.sub(personal, "[x]", t or ""))), len(t or "")
+
+    compiled = [(x, re.compile(p)) for x, p in tokens.PERSONAL]
+    for t in ("a@b.cc+x@y.zz", "1234567890123@b.cc 1234567890123", "x1234567890123@b", "a@b@c.dd", "@", "a@b.", "a.b@c.d.e-f 12345678901234567890"):
+        assert tokens.edits_of(t, compiled, "") == [(m.start(), m.end(), "") for m in regex.finditer(personal, t)]
 
     for d in (docs, clashing):
         got = sorted(((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited, r.n_chars) for r in tokens.count_edited(d).collect()), key=repr)
