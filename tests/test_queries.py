@@ -334,3 +334,11 @@ def test_python_folds_read_few_columns(db):
     df = q.dataframe()
     assert "ReadSchema: struct<age:int>" in df._jdf.queryExecution().executedPlan().toString()
     assert sum(r.n for r in df.collect()) == sum(2 * i + 20 > 30 for i in range(20))
+
+
+def test_a_join_without_a_condition_is_told(db):
+    other = db.relationSchema("employee").rename("employee2", {"id": "id2", "age": "age2"})
+    q = employee(db).join(employee(db), rhsSchema=other, method="nested-loops", expr="True").finalize()
+    with pytest.warns(UserWarning, match="no condition"):
+        got = db.optimizeQuery(q)
+    assert got.dataframe().count() == 400
