@@ -37,8 +37,8 @@ from lodeframe.llm.tables import fits, partitions, scratch, written
 SHINGLE, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 #: minima in a signature (the first of them make the bands), and how many of its bytes must agree
 SIGNATURE, AGREE = 256, 156
-#: least members of a bucket in one block (a large bucket has about BLOCKS, until their size is 8 times that), and most shingles
-BLOCK, BLOCKS, BLOCK_SHINGLES = 256, 32, 1 << 18
+#: least members of a bucket in one block (a large bucket has about BLOCKS, until their size is 16 times that), and most shingles
+BLOCK, BLOCKS, BLOCK_SHINGLES = 128, 32, 1 << 18
 #: partners of a pivot in one cell
 CELL = 64
 #: a text that has a word
@@ -336,7 +336,7 @@ def classes(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, bands: in
         tagged = tagged.join(mates.select("doc", "n_shingles"), "doc")
         sizes = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
         main = sizes.groupBy("bucket").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("s").alias("s"), F.max_by("s", F.struct("n", "c")).alias("most_s")).filter("n > most")
-        size = lambda n: F.greatest(F.lit(BLOCK), F.least(F.lit(8 * BLOCK), n / BLOCKS))
+        size = lambda n: F.greatest(F.lit(BLOCK), F.least(F.lit(16 * BLOCK), n / BLOCKS))
         parts = lambda n, s: F.ceil(F.greatest(n / size(n), s / BLOCK_SHINGLES)).cast("int")
         main = main.select("bucket", "main", parts(F.col("n"), F.col("s")).alias("blocks"), parts(F.col("n") - F.col("most"), F.col("s") - F.col("most_s")).alias("stray_blocks"))
         split = tagged.drop("n_shingles").join(main, "bucket").join(mates.select("doc", "n_shingles", "signature", "bands"), "doc")
