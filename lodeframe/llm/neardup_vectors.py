@@ -45,6 +45,8 @@ APART, SPARE = 0.7, 4
 MOST_PIVOTS, MOST_BYTES = 32768, 64 << 20
 #: pairs that one step verifies
 STEP = 1 << 16
+#: a pivot's lists are long if they hold one in LONG of the pairs; so many of these pivots are counted in one product
+LONG, TOGETHER = 32, 256
 
 
 def pivot_count(n: int, dim: int, most_bytes: int = MOST_BYTES) -> int:
@@ -80,10 +82,23 @@ def setting(pivots: int) -> tuple[int, int, int]:
 
 
 def shared_counts(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """How many pivots each prefix of p shares with each of q: each pivot's two inverted lists raise the count of their pairs."""
+    """How many pivots each prefix of p shares with each of q: each pivot's two inverted lists raise the count of their pairs.
+
+    Pivots whose lists hold much of both sides, as those of a dense group do, are counted together by a product of incidence matrices.
+    """
     out = np.zeros((len(p), len(q)), dtype=np.uint8)
+    long = []
     for i, j in _meeting(p, q):
-        out[np.ix_(i, j)] += 1
+        if len(i) * len(j) * LONG > out.size:
+            long.append((i, j))
+        else:
+            out[np.ix_(i, j)] += 1
+    for s in range(0, len(long), TOGETHER):
+        part = long[s : s + TOGETHER]
+        a, b = (np.zeros((n, len(part)), dtype=np.float32) for n in out.shape)
+        for k, (i, j) in enumerate(part):
+            a[i, k] = b[j, k] = 1
+        out += (a @ b.T).astype(np.uint8)
     return out
 
 
@@ -103,11 +118,8 @@ def _meeting(p: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndar
 
 def retrieved(pivot: int, p: np.ndarray, q: np.ndarray, lists: int) -> np.ndarray:
     """Pairs that this pivot's list answers for: they share no lower one among the first `lists`."""
-    out = np.ones((len(p), len(q)), dtype=bool)
     low, high = (np.where(x[:, :lists] < pivot, x[:, :lists], -1 - k) for k, x in enumerate((p, q)))
-    for i, j in _meeting(low, high):
-        out[np.ix_(i, j)] = False
-    return out
+    return shared_counts(low, high) == 0
 
 
 def near(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
@@ -129,8 +141,9 @@ def cell_links(pivot: int, a: tuple, b: tuple | None, cosine: float, lists: int,
         candidate &= np.tri(len(x), k=-1, dtype=bool).T
     if tally is not None:
         tally.append(int(candidate.sum()))
-    candidate &= shared_counts(p, q) >= shared
-    i, j = np.nonzero(candidate)
+    r, c = np.flatnonzero(candidate.any(1)), np.flatnonzero(candidate.any(0))
+    i, j = np.nonzero(candidate[np.ix_(r, c)] & (shared_counts(p[r], q[c]) >= shared))
+    i, j = r[i], c[j]
     if tally is not None:
         tally.append(len(i))
     ok = near(x, y, i, j, cosine)
