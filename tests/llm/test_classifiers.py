@@ -136,6 +136,43 @@ def test_scores_equal_a_plain_version(labelled):
         assert r.score == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0.0) for f in found)))))
 
 
+#: by toxic word another whose hash has the same leading 22 bits
+CELL_MATES = {"rude0": "v1303763", "rude1": "v2762193", "rude2": "v1393688", "rude3": "v3223286", "rude4": "v682633", "rude5": "v10428904"}
+
+
+def test_a_clean_text_isnt_marked_for_the_cells_of_its_words(spark, labelled):
+    for pair in CELL_MATES.items():
+        raw, offsets = W.column_bytes(pa.array([" ".join(pair)]))
+        starts, ends, _ = W.spans(raw, offsets)
+        one, two = W.word_hashes(raw, starts, ends)
+        assert one >> np.uint64(42) == two >> np.uint64(42) and one != two
+    docs, labels = labelled
+    texts = [" ".join(f"w{j}" for j in range(i, i + 20)) for i in range(6)]
+    clean = [(10_000 + i, " ".join([t, *CELL_MATES.values()])) for i, t in enumerate(texts)]
+    toxic = [(20_000 + i, " ".join([t, *CELL_MATES])) for i, t in enumerate(texts)]
+    seen = spark.createDataFrame([(1_000, "w1 w2 " + CELL_MATES["rude0"])], "doc_id long, text string")  # learnt from, too
+    model = toxicity.fit(docs.select("doc_id", "text").union(seen), labels.union(spark.createDataFrame([(1_000, 1, 0)], labels.schema)))
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(clean + toxic, "doc_id long, text string"), model).collect()}
+    without = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()}
+    assert {i: got[i].score for i, _ in clean} == pytest.approx(without)
+    assert not any(got[i].predicted for i, _ in clean) and all(got[i].predicted for i, _ in toxic)
+
+
+def test_clean_texts_stay_when_the_sample_holds_few_of_them(spark):
+    """Of 40,000 labels 10 % are toxic; the sample has 1,500 of each."""
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(40_000):
+        toxic = rng.random() < 0.1
+        w = [f"w{min(rng.randrange(300), rng.randrange(300))}" for _ in range(rng.randrange(5, 60))]
+        docs.append((i, " ".join([*w, *([f"rude{rng.randrange(150)}"] if toxic else [])])))
+        labels.append((i, 1, int(toxic)))
+    docs, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels, most=1_500)).join(labels, "doc_id").collect()
+    assert sum(r.predicted for r in got if not r.toxic) <= 0.01 * len(got)
+    assert sum(r.predicted for r in got if r.toxic) >= 0.95 * sum(r.toxic for r in got)
+
+
 def test_the_sample_is_bounded_in_bytes(labelled):
     docs, labels = labelled
     model = toxicity.fit(docs, labels, most_bytes=30_000)
