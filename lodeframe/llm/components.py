@@ -3,7 +3,7 @@
 Edges are rows (a, b) of longs, any direction. Each round groups by a node for the
 least neighbour (summed map-side, so a hub's edges meet no single task before that)
 and joins the minima back (an equi-join that adaptive execution may split). Rounds
-are written to the shared folder; only two numbers a round reach the driver.
+are written to the shared folder, in as many files as their edges need; only two numbers a round reach the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from lodeframe.llm.tables import scratch, written
 
 
+#: edges in a file, and files of few edges; on a local folder, Hadoop starts processes from the executor for each file
+FILE_EDGES, FILES = 1 << 18, 8
+
+
 def _large_star(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours hang on the least of its neighbourhood."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,11 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
     start = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     with scratch(spark):
         rows, before = written(start, "edges"), None
+        files = FILES
         while True:
             state = tuple(rows.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
             if state == before or not state[0]:
                 break
-            before = state
-            rows = written(_small_star(_large_star(rows)), "edges")
+            before, files = state, max(FILES, -(-state[0] // FILE_EDGES))  # a round keeps about as many edges
+            rows = written(_small_star(_large_star(rows)).coalesce(files), "edges")
         labels = rows.select(F.col("a").alias("node"), F.col("b").alias("component")).union(rows.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()
-        return written(labels, "components", keep=True)
+        return written(labels.coalesce(files), "components", keep=True)

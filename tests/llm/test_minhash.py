@@ -167,3 +167,17 @@ def test_components(spark):
             label[a] = label[b] = low
     assert got == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_components_of_few_edges_are_few_files(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(2_000)], "a long, b long")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components(chain)
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert {(r.node, r.component) for r in got.collect()} == {(i, 0) for i in range(2_001)}
+    assert 0 < len(got.inputFiles()) <= 8
